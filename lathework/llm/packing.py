@@ -19,7 +19,6 @@ ids are pieces of their own; an empty table has no pieces.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 
 import numpy as np
@@ -29,49 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathework.llm import common
-from lathework.llm.token_counts import chunks
-
-
-class ChunkIds(dict):
-    """Token ids of white-space chunks as little-endian 32-bit words."""
-
-    def __init__(self, library, limit=200_000):
-        super().__init__()
-        self.library, self.limit = library, limit
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self.library.encode(chunk, add_special_tokens=False).ids
-        packed = self[chunk] = np.array(ids, "<u4").tobytes()
-        return packed
+from lathework.llm.bpe import VectorBPE
 
 
 def _pieces(path: str, max_tokens: int):
     def scan(batches):
-        import json
-
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        names = [re.escape(t["content"]) for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
-        special = re.compile("|".join(names) or r"(?!)")
-        ids_of = ChunkIds(library)
-        size = 4 * max_tokens
+        engine = VectorBPE(path)
         for batch in batches:
             owner, piece, length, crc = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if special.search(text):
-                    ids = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    ids = b"".join(map(ids_of.__getitem__, chunks(text)))
-                ids += b"\0\0\0\0"
-                for k in range(0, len(ids), size):
-                    part = ids[k : k + size]
+            for i, ids in engine.ids(batch.column(1).to_pylist()):
+                ids = np.append(ids, np.uint32(0)).astype("<u4")
+                for k in range(0, len(ids), max_tokens):
+                    part = ids[k : k + max_tokens]
                     owner.append(i)
-                    piece.append(k // size)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+                    piece.append(k // max_tokens)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part.tobytes()))
             piece = np.array(piece, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -1,36 +1,28 @@
-"""Token counts by a whole-token shortcut (operator 8) and token ids (for packing).
-
-The vocabulary is a byte-pair file with word ends over lower-cased text whose white
-space is dropped. Its pre-tokens never cross white space, so the ids of a text are
-those of its white-space chunks one after the other, except where a special string
-stands in the text (then the library encodes that text as a whole).
+"""Token counts by a whole-token shortcut (operator 8).
 
 Offline, on the driver, every vocabulary string that ends a word is put through the
 library; those that come back as one token are the proven shortcuts. In the scan a
-pre-token among them counts one without any merge; the library merges only the rest,
-once for each distinct chunk that a task meets.
+pre-token among them counts one without any merge; only the rest are merged, each
+distinct pre-token of a batch once (see ``bpe``). Special strings inside texts, and
+scripts whose character tables the fast splitter does not know, go to the library whole.
+
+Nothing is shuffled; the shortcuts, at most the vocabulary, are broadcast.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); lone white space
-has no tokens; very long chunks are encoded as they are.
+has no tokens; whole texts are counted, however long; rows repeat as they stand.
 """
 
 from __future__ import annotations
 
 import json
-import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathework.llm import common
-
-#: The Unicode white space that the normaliser's \s drops; chunks between them never share a pre-token.
-_WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-_SPACE = re.compile(f"[{''.join(map(chr, _WHITE))}]+")
-_ASCII_ONLY = re.compile(r"[\x1c-\x1f]")
-_BEYOND_LATIN = re.compile(r"[^\x00-\u024f\u2010-\u2027\u20ac]")
-
+from lathework.llm.bpe import VectorBPE
 
 #: Byte-level vocabulary strings: printable bytes stand for themselves, the others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,78 +36,32 @@ def _unmapped(name: str) -> str | None:
         return None
 
 
-def proven_shortcuts(path: str) -> frozenset[str]:
-    """Vocabulary strings (without their word end) that the library encodes as themselves alone."""
+def proven_shortcuts(path: str) -> dict[str, int]:
+    """Texts that the library encodes as one token, with its id."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     model = json.load(open(path, encoding="utf-8"))["model"]
     end = model["end_of_word_suffix"]
     names = (s[: -len(end)] for s in model["vocab"] if s.endswith(end))
-    candidates = sorted({t for t in map(_unmapped, names) if t and not _SPACE.search(t)})
+    candidates = sorted({t for t in map(_unmapped, names) if t and not any(c.isspace() for c in t)})
     encoded = library.encode_batch(candidates, add_special_tokens=False)
-    return frozenset(s for s, e in zip(candidates, encoded) if len(e.ids) == 1)
-
-
-class Counts(dict):
-    """Token counts of white-space chunks, filled as they are met."""
-
-    def __init__(self, library, shortcuts, pattern, limit=300_000):
-        super().__init__()
-        self.library, self.shortcuts, self.pattern, self.limit = library, shortcuts, pattern, limit
-
-    def __missing__(self, chunk: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        n = self[chunk] = self.counted(chunk)
-        return n
-
-    def counted(self, chunk: str) -> int:
-        if _BEYOND_LATIN.search(chunk):  # the splitter's Unicode tables may differ from the library's
-            return len(self.library.encode(chunk, add_special_tokens=False).ids)
-        normal = self.library.normalizer.normalize_str(chunk)
-        parts = self.pattern.findall(normal)
-        rest = [p for p in parts if p not in self.shortcuts]
-        merged = sum(len(e.ids) for e in self.library.encode_batch(rest, add_special_tokens=False)) if rest else 0
-        # a part on its own must split as it did in its chunk; where it does not, the chunk is encoded whole
-        if any(self.pattern.findall(p) != [p] for p in rest):
-            return len(self.library.encode(chunk, add_special_tokens=False).ids)
-        return len(parts) - len(rest) + merged
+    return {s: e.ids[0] for s, e in zip(candidates, encoded) if len(e.ids) == 1}
 
 
 def _counter(path: str, shortcuts, limit: int):
     def scan(batches):
-        import regex
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        counts = Counts(library, shortcuts.value, pattern)
+        engine = VectorBPE(path, shortcuts.value)
         for batch in batches:
-            n_tokens = []
-            for text in batch.column(1).to_pylist():
-                if special.search(text):
-                    n_tokens.append(len(library.encode(text, add_special_tokens=False).ids))
-                else:
-                    n_tokens.append(sum(map(counts.__getitem__, chunks(text))))
-            total = pa.array(n_tokens, pa.int64())
+            total = pa.array(engine.counts(batch.column(1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), total, pa.array([n > limit for n in n_tokens], pa.bool_())],
+                [batch.column(0), batch.column(2), total, pc.greater(total, limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
     return scan
 
 
-def chunks(text: str) -> list[str]:
-    """The text's white-space chunks, as the normaliser's \\s sees white space."""
-    if _ASCII_ONLY.search(text):  # str.split() also splits at these four
-        return [c for c in _SPACE.split(text) if c]
-    return text.split()
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each document."""
     spark = docs.sparkSession

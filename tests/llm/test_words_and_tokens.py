@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lathework.llm import packing, substring_dedup, token_counts
+from lathework.llm.bpe import VectorBPE
 from tests.llm.helpers import SCHEMA, docs_of, odd_pairs
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +67,18 @@ def test_shortcuts_are_single_tokens():
     assert all(len(e.ids) == 1 for e in library.encode_batch(shortcuts[::37], add_special_tokens=False))
 
 
+def test_vector_bpe_equals_the_library():
+    library, engine = Tokenizer.from_file(PATH), VectorBPE(PATH)
+    rng = random.Random(1)
+    marks = "ab'sdtmrevl \n\t0129.,!?-\u00e9\u00c9\u00df\u00f1\u00d7\u00b2\u00bd\u00b5\xa0\x85\x1c\x00\u2019\u20ac\u0130\u03a3e\u0301"
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["aaaa" * 50, "'s", "''s", "x's're'llo", ""]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for _, ids in sorted(engine.ids(texts), key=lambda x: x[0])] == expected
+    small = VectorBPE(PATH, token_counts.proven_shortcuts(PATH), cache=40)
+    assert small.counts(texts).tolist() == [len(e) for e in expected]
+
+
 def check_packing(pairs, rows, cap=2048):
     library = Tokenizer.from_file(PATH)
     expected = {}
