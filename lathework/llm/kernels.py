@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 
-
-def byte_rows(column: pa.Array):
-    """The UTF-8 bytes of each text, one after the other; a null gives empty bytes."""
-    for value in column.cast(pa.binary()):
-        yield value.as_py() or b""
-
-
-class WordCodes(dict):
-    """64-bit codes of words (bytes), from a keyed hash; forgets all beyond ``limit`` words."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        code = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_BASE = 0x9E3779B97F4A7C55
+CHUNK_BYTES = 1 << 21
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -48,3 +26,83 @@ def gram_hashes(codes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     for j in range(1, k):
         total = mix(total * np.uint64(0xD6E8FEB86659FD93) + codes[j : j + n], seed)
     return total
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values."""
+    if len(x) < width:
+        return x[:0]
+    span = 1
+    while 2 * span <= width:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
+
+
+class SpanHash:
+    """64-bit hashes of spans of an integer array, from prefix sums of a random table's powers."""
+
+    def __init__(self):
+        self._table = mix(np.arange(256, dtype=np.uint64), 17)
+        self._grow(1 << 16)
+
+    def _grow(self, n: int) -> None:
+        self._up = np.full(n, _BASE, np.uint64)
+        self._down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        self._up[0] = self._down[0] = 1
+        np.cumprod(self._up, out=self._up)
+        np.cumprod(self._down, out=self._down)
+
+    def of_values(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(values) + 1 > len(self._up):
+            self._grow(len(values) + 1)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self._up[: len(values)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+
+    def of_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.of_values(self._table[data], starts, ends)
+
+    def of_points(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.of_values(mix(points.astype(np.uint64), 23), starts, ends)
+
+
+class Words:
+    """The words (runs without ASCII white space) of some consecutive texts.
+
+    ``first`` is the number of the first text; ``of[i]`` the text of word ``i`` counted from
+    it; ``bounds`` where each text's words begin; ``codes`` the words' hashes.
+    """
+
+    def __init__(self, first, n, data, starts, ends, of, codes):
+        self.first, self.n, self.data, self.starts, self.ends, self.of, self.codes = first, n, data, starts, ends, of, codes
+        self.bounds = np.searchsorted(of, np.arange(n + 1))
+
+    def text(self, i: int) -> np.ndarray:
+        return self.codes[self.bounds[i] : self.bounds[i + 1]]
+
+
+def scan_words(column: pa.Array, hasher: SpanHash):
+    """``Words`` of the column's texts, some ``CHUNK_BYTES`` at a time, whole texts each; nulls are empty."""
+    array = column.cast(pa.large_binary()).fill_null(b"")
+    if not len(array):
+        return
+    _, offsets, values = array.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
+    values = np.frombuffer(values, np.uint8) if values is not None else np.empty(0, np.uint8)
+    lo = 0
+    while lo < len(array):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1)
+        hi = min(hi, len(array))
+        data = values[offsets[lo] : offsets[hi]]
+        edges = offsets[lo : hi + 1] - offsets[lo]
+        solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        cut = np.zeros(len(data) + 1, bool)  # a text begins here
+        cut[edges] = True
+        before = np.concatenate([[False], solid[:-1]]) if len(data) else solid
+        after = np.concatenate([solid[1:], [False]]) if len(data) else solid
+        starts = np.flatnonzero(solid & (~before | cut[:-1]))
+        ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
+        of = np.searchsorted(edges, starts, "right") - 1
+        yield Words(lo, hi - lo, data, starts, ends, of, hasher.of_bytes(data, starts, ends))
+        lo = hi

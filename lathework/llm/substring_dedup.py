@@ -10,7 +10,7 @@ window whose anchor stands in one document only cannot repeat. Extend: an anchor
 shared by documents is extended to the left and right to every window that it
 anchors; windows are joined on a 128-bit hash of all their words with the least
 document that has them. Keep: runs of covered words are the maximal repeats, none
-shorter than ``length``. The result is exact up to collisions of 128-bit hashes.
+shorter than ``length``. Windows are compared by two 64-bit hashes of their words' 64-bit codes.
 
 Scale: one anchor for about 5.5 words is shuffled, aggregated before the shuffle;
 windows are made only where an anchor is shared. The joins on anchors and windows
@@ -31,59 +31,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathework.llm import common
-from lathework.llm.kernels import WordCodes, byte_rows, gram_hashes
+from lathework.llm.kernels import SpanHash, Words, gram_hashes, scan_words, sliding_min
 
 GRAM = 4
 
 
-def _anchors(codes: np.ndarray, length: int) -> np.ndarray:
-    """For each window start, the hash of the window's anchor."""
-    grams = gram_hashes(codes, GRAM)
-    width = length - GRAM + 1
-    if len(grams) < width:
-        return np.empty(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(grams, width).min(axis=1)
+def _anchors(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of ``length`` words within one text, and the hash of each one's anchor."""
+    if len(words.codes) < length:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    anchors = sliding_min(gram_hashes(words.codes, GRAM), length - GRAM + 1)
+    at = np.flatnonzero(words.of[: len(anchors)] == words.of[length - 1 :])
+    return at, anchors[at]
 
 
 def _seeds(length: int):
     def scan(batches):
-        codes = WordCodes()
+        hasher = SpanHash()
         for batch in batches:
-            found, owner = [], []
-            for i, text in enumerate(byte_rows(batch.column(2))):
-                anchors = _anchors(codes.of(text.split()), length)
-                if len(anchors):
-                    found.append(np.unique(anchors))
-                    owner.append(np.full(len(found[-1]), i))
-            if found:
-                at = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)],
-                    ["anchor", "doc_id", "row_key"],
-                )
+            for words in scan_words(batch.column(2), hasher):
+                at, anchors = _anchors(words, length)
+                owner = words.of[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+                if new.any():
+                    rows = pa.array(words.first + owner[new])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchors[new].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)],
+                        ["anchor", "doc_id", "row_key"],
+                    )
 
     return scan
 
 
 def _extended(length: int):
     def scan(batches):
-        codes = WordCodes()
+        hasher = SpanHash()
         for batch in batches:
-            parts = []
-            for i, (text, shared) in enumerate(zip(byte_rows(batch.column(2)), batch.column(3))):
-                words = codes.of(text.split())
-                keep = np.asarray(shared.values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                at = np.flatnonzero(np.isin(_anchors(words, length), keep))
+            shared = batch.column(3)
+            for words in scan_words(batch.column(2), hasher):
+                at, anchors = _anchors(words, length)
+                keep = np.zeros(len(at), bool)
+                owner = words.of[at]
+                for i in range(words.n):
+                    lo, hi = np.searchsorted(owner, [i, i + 1])
+                    own = np.asarray(shared[words.first + i].values.to_numpy(zero_copy_only=False)).view(np.uint64)
+                    keep[lo:hi] = np.isin(anchors[lo:hi], own)
+                at, owner = at[keep], owner[keep]
                 if len(at):
-                    first, second = (gram_hashes(words, length, s)[at].view(np.int64) for s in (1, 2))
-                    parts.append((first, second, np.full(len(at), i), at))
-            if parts:
-                first, second, owner, at = (np.concatenate(x) for x in zip(*parts))
-                owner = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first), pa.array(second), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32))],
-                    ["w1", "w2", "doc_id", "row_key", "at"],
-                )
+                    first, second = (gram_hashes(words.codes, length, s)[at].view(np.int64) for s in (1, 2))
+                    rows = pa.array(words.first + owner)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(first),
+                            pa.array(second),
+                            batch.column(0).take(rows),
+                            batch.column(1).take(rows),
+                            pa.array((at - words.bounds[owner]).astype(np.int32)),
+                        ],
+                        ["w1", "w2", "doc_id", "row_key", "at"],
+                    )
 
     return scan
 
@@ -92,8 +99,8 @@ def _kept(length: int):
     def scan(batches):
         for batch in batches:
             n_words, n_removed, digest, kept_texts = [], [], [], []
-            for text, starts in zip(byte_rows(batch.column(1)), batch.column(2)):
-                words = text.split()
+            for text, starts in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
+                words = text.as_py().split()
                 n_words.append(len(words))
                 if starts.is_valid and len(starts.values):
                     edge = np.zeros(len(words) + 1, np.int64)
