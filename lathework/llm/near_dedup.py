@@ -182,42 +182,44 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rounds(members: DataFrame, texts: DataFrame, links: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """``links`` with those found between hubs and members, and the members of keys still open."""
-    spark = members.sparkSession
-    done = None  # for each key, the hash of its last hub
-    for r in range(rounds):
-        labels = components(links) if r or links.take(1) else None
-        rows = members if labels is None else members.join(labels, "node", "left")
-        label = F.coalesce("label", "node") if labels is not None else F.col("node")
-        rows = rows.select("key", "node", "n_words", label.alias("label"), F.xxhash64("node", "key").alias("turn"))
-        state = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open"), F.max("turn").alias("last"))
-        if done is not None:
-            state = state.join(done, "key").filter("last > hub_turn")
-            rows = rows.join(done, "key", "left")
-        else:
-            rows = rows.withColumn("hub_turn", F.lit(None).cast("long"))
-        open_keys = state.filter("open").select("key")
-        rows = common.materialize(rows.join(open_keys, "key"), "open")
-        members = rows.select("key", "node", "n_words")
-        if not rows.take(1):
-            return links, members
-        least = F.min(F.when(F.col("hub_turn").isNull() | (F.col("turn") > F.col("hub_turn")), F.struct("turn", "node", "n_words", "label")))
-        hubs = rows.groupBy("key").agg(least.alias("hub")).filter("hub IS NOT NULL")
-        hubs = common.materialize(hubs.select("key", "hub.*").toDF("key", "hub_turn", "hub", "hub_words", "hub_label"), "hubs")
-        done = hubs.select("key", "hub_turn")
+    """``links`` with those found between hubs and members, and the members of keys still open.
+
+    A key's hub leaves it after its round, having met every other member.
+    """
+    members = members.select("key", "node", "n_words", F.xxhash64("node", "key").alias("turn"))
+    labels = components(links) if links.take(1) else None
+    for _ in range(rounds):
+        rows = members.withColumn("label", F.col("node")) if labels is None else (
+            members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        )
+        state = rows.groupBy("key").agg(
+            (F.min("label") != F.max("label")).alias("open"),
+            F.min(F.struct("turn", "node", "n_words", "label")).alias("hub"),
+        )
+        hubs = state.filter("open").select("key", "hub.*").toDF("key", "hub_turn", "hub", "hub_words", "hub_label")
+        rows = common.materialize(rows.join(hubs, "key"), "open")
+        members = rows.filter("turn > hub_turn OR (turn = hub_turn AND node <> hub)").select("key", "node", "n_words", "turn")
         pairs = (
-            rows.select("key", "node", "n_words", "label")
-            .join(hubs, "key")
-            .filter(F.col("label") != F.col("hub_label"))
+            rows.filter(F.col("label") != F.col("hub_label"))
             .filter(F.least("n_words", "hub_words") >= F.floor(F.greatest("n_words", "hub_words") * (threshold - 1e-9)))
             .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
             .distinct()
         )
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-        found = pairs.join(ta, "a").join(tb, "b").select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a binary, b binary")
-        links = common.materialize(links.union(found), "found")
-    return links, members
+        found = pairs.join(ta, "a").join(tb, "b").select("a", "b", "x", "y")
+        found = common.materialize(found.mapInArrow(_verified(threshold), "a binary, b binary"), "found")
+        if found.take(1):
+            links = links.union(found)
+            labels = components(links)
+        elif not members.take(1):
+            break
+    if labels is not None:
+        rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    else:
+        rows = members.withColumn("label", F.col("node"))
+    unlike = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("key")
+    return links, common.materialize(members.join(unlike, "key"), "left")
 
 
 def text_node(text: str) -> F.Column:

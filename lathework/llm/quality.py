@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning (operator 2).
 
 A linear model over a document's average word features (the word, its shape, the
-shape's trigrams, hashed) minimises the non-negative unbiased risk
+shape's trigrams, hashed) and its shares of repeated words minimises the non-negative unbiased risk
 ``p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)])`` with the logistic loss: P are
 trusted positives (label 1), U are unlabelled web texts, and ``p`` is the estimated
 class prior. Where the bracket falls below zero its gradient is climbed, not descended.
@@ -20,6 +20,7 @@ score alike.
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from lathework.llm import common
 from lathework.llm.toxicity import held_out, labelled
 
-BUCKETS, POSITIVES, UNLABELLED, STEPS = 1 << 15, 2000, 3000, 150
+BUCKETS, POSITIVES, UNLABELLED, STEPS = 1 << 15, 2000, 3000, 120
+WIDTH = BUCKETS + 2
 _RUNS = re.compile(r"(.)\1{2,}")
 
 
@@ -67,6 +69,13 @@ class Features:
         return np.append(self.of_shape(self.shape(word)), zlib.crc32(word.lower().encode()) % BUCKETS)
 
 
+def whole_text(words: list[str]) -> list[tuple[int, float]]:
+    """(feature number, value) of the text as a whole: repeated neighbours, repeated words."""
+    n = len(words)
+    again = sum(map(operator.eq, words, words[1:])) / n
+    return [(BUCKETS, again), (BUCKETS + 1, 1 - len(set(words)) / n)]
+
+
 class Sparse:
     """Average word features of texts, row by row."""
 
@@ -88,6 +97,9 @@ class Sparse:
                 f = known[w]
                 parts.append(f)
                 weights.append(np.full(len(f), n / len(f) / len(words)))
+            for number, value in whole_text(words):
+                parts.append(np.array([number]))
+                weights.append(np.array([value]))
             ids, place = np.unique(np.concatenate(parts), return_inverse=True)
             cols.append(ids)
             values.append(np.bincount(place, weights=np.concatenate(weights)))
@@ -99,7 +111,7 @@ class Sparse:
         return np.bincount(self.rows, weights=self.values * w[self.cols], minlength=self.n)
 
     def back(self, g):
-        return np.bincount(self.cols, weights=self.values * g[self.rows], minlength=BUCKETS)
+        return np.bincount(self.cols, weights=self.values * g[self.rows], minlength=WIDTH)
 
 
 def _sigmoid(x):
@@ -108,8 +120,8 @@ def _sigmoid(x):
 
 def _adam(gradient, steps: int, rate: float = 0.3):
     """Weights and bias after ``steps`` of Adam on ``gradient(w, b)``."""
-    w, b = np.zeros(BUCKETS), 0.0
-    m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
+    w, b = np.zeros(WIDTH), 0.0
+    m, v, mb, vb = np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0
     for t in range(1, steps + 1):
         g, gb = gradient(w, b)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -146,7 +158,7 @@ def class_prior(positive: Sparse, unlabelled: Sparse, texts_p: list[str], texts_
 def train(texts_p: list[str], texts_u: list[str], steps: int = STEPS, prior: float | None = None):
     """(weights, bias, prior) that minimise the non-negative unbiased risk."""
     if not texts_p or not texts_u:
-        return np.zeros(BUCKETS), 0.0, 0.5
+        return np.zeros(WIDTH), 0.0, 0.5
     p, u = Sparse(texts_p), Sparse(texts_u)
     if prior is None:
         prior = class_prior(p, u, texts_p, texts_u)
@@ -186,9 +198,13 @@ class Scorer:
         words = text.split()
         if len(self.pulls) > 300_000:
             self.pulls.clear()
-        for x in {*words} - self.pulls.keys():
-            self.pulls[x] = float(self.pull(x))
-        total = sum(map(self.pulls.__getitem__, words)) / len(words) if words else 0.0
+        for x in set(words):
+            if x not in self.pulls:
+                self.pulls[x] = float(self.pull(x))
+        total = 0.0
+        if words:
+            total = sum(map(self.pulls.__getitem__, words)) / len(words)
+            total += sum(self.w[number] * value for number, value in whole_text(words))
         return float(_sigmoid(total + self.bias))
 
 
@@ -214,7 +230,7 @@ def unlabelled_texts(docs: DataFrame, labels: DataFrame, n: int) -> list[str]:
 
 def positive_unlabelled(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each document."""
-    texts, y = labelled(docs, labels, "quality", POSITIVES)
+    texts, y = labelled(docs, labels, "quality", (0, POSITIVES))
     trusted = [t for t, v in zip(texts, y) if v == 1]
     w, bias, _ = train(trusted, unlabelled_texts(docs, labels, UNLABELLED))
     model = docs.sparkSession.sparkContext.broadcast((w, bias))

@@ -8,7 +8,7 @@ not thinned out. Vectors and softmax are trained jointly in numpy (Adagrad) on t
 document's label through that passage. Unseen misspellings share n-gram vectors.
 
 Training: the labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most
-``SAMPLE`` of each class by a hash of the id, a documented bound; it runs on the
+``SAMPLE`` of either label by a hash of the id, a documented bound; it runs on the
 driver. Scoring reads every whole text, in place, with the model broadcast (its size
 is fixed by ``BUCKETS`` x ``DIM``). lang, source, doc_id and labels are no inputs.
 
@@ -30,7 +30,9 @@ from pyspark.sql.types import StructType
 from lathework.llm import common
 from lathework.llm.kernels import SpanHash, mix
 
-BUCKETS, DIM, PASSAGE, SAMPLE, EPOCHS = 1 << 16, 8, 24, 2000, 12
+BUCKETS, DIM, PASSAGE, EPOCHS = 1 << 16, 8, 24, 10
+#: At most so many labelled documents of label 0 and of label 1 are learnt from.
+SAMPLE = (6000, 3000)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -97,7 +99,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     begin = np.cumsum(sizes) - sizes
     y = np.array(labels, np.float32)
     share = max(1e-3, float(y.mean()))
-    gains = np.where(y == 1, 0.5 / share, 0.5 / max(1e-3, 1 - share)).astype(np.float32)
+    gains = np.where(y == 1, (0.5 / share) ** 0.5, (0.5 / max(1e-3, 1 - share)) ** 0.5).astype(np.float32)
     sq_v, sq_w, sq_b = np.full((BUCKETS, DIM), 1e-6, np.float32), np.full(DIM, 1e-6, np.float32), 1e-6
     usable = np.array([i for i, d in enumerate(docs) if len(d)], np.int64)
     for epoch in range(epochs):
@@ -121,8 +123,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             ids = flat[at]
             scale = np.repeat(1.0 / (gram_n * lengths[doc_of]), gram_n).astype(np.float32)
             owner = np.repeat(doc_of, gram_n)
-            hidden = np.zeros((len(tops), DIM), np.float32)
-            np.add.at(hidden, owner, vectors[ids] * scale[:, None])
+            of_doc = np.searchsorted(owner, np.arange(len(tops)))
+            hidden = np.add.reduceat(vectors[ids] * scale[:, None], of_doc, axis=0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ weight + bias, -50, 50)))
             error = (p - y[batch]) * gains[batch]
             g_w, g_b = error @ hidden, float(error.sum())
@@ -138,18 +140,18 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     return Model(vectors, weight, bias)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of the learning folds: at most ``sample`` of each class, by a hash of the id."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: tuple[int, int]) -> tuple[list[str], list[int]]:
+    """Texts and labels of the learning folds: at most ``sample[v]`` of label v, by a hash of the id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter("doc_id IS NOT NULL AND label IN (0, 1) AND crc32(cast(doc_id AS string)) % 5 <> 0")
     picked = None
     for value in (0, 1):
         own = known.filter(F.col("label") == value).dropDuplicates(["doc_id"])
-        own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[value])
         picked = own if picked is None else picked.union(own)
     rows = (
         common.texts_of(docs)
-        .join(F.broadcast(picked), "doc_id")  # at most 2 x sample rows of two numbers
+        .join(F.broadcast(picked), "doc_id")  # at most sum(sample) rows of two numbers
         .select("doc_id", "text", "label")
         .collect()
     )
@@ -164,7 +166,7 @@ def held_out() -> F.Column:
 
 def _scorer(model):
     def scan(batches):
-        own = model.value
+        own = Model(*model.value)
         pulls: dict[str, float] = {}
         for batch in batches:
             scores = []
@@ -172,7 +174,7 @@ def _scorer(model):
                 texts = [words_of(t or "") for t in batch.column(1).slice(lo, 200).to_pylist()]
                 if len(pulls) > 300_000:
                     pulls.clear()
-                new = list(set().union(*texts) - pulls.keys())
+                new = [w for w in set().union(*texts) if w not in pulls]
                 pulls.update(zip(new, own.words(new)))
                 scores += [own.score(np.fromiter(map(pulls.__getitem__, w), float, len(w))) for w in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["kept", "score"])
@@ -180,7 +182,7 @@ def _scorer(model):
     return scan
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
     texts, y = labelled(docs, labels, "toxic", sample)
     if len(set(y)) < 2:
         return Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros(DIM, np.float32), -50.0)
@@ -189,7 +191,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``kept`` (the whole row, as a struct, so no column's name can clash) and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM floats, 2 MB
+    shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.weight, model.bias))  # BUCKETS x DIM floats, 2 MB
     rows = docs.select(F.struct("*").alias("kept"), F.col("text").alias("text"))
     schema = StructType().add("kept", rows.schema["kept"].dataType).add("score", "double")
     return rows.mapInArrow(_scorer(shared), schema)
