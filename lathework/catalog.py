@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lathework.plans import audit
+from lathework.plans import audit, detection, timeline
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (audit,):
+for _module in (audit, timeline, detection):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
