@@ -4,7 +4,7 @@ Labelled credentials of each format make a prefix tree; states whose outgoing
 frequencies are statistically compatible (Hoeffding bound, checked through their
 whole subtrees) are merged, which gives one probabilistic automaton for each format.
 Every candidate of a text (a run of at least ``MIN_CANDIDATE`` characters of the
-credential alphabet) is scored by its best format's log likelihood per character
+credential alphabet, of enough variety) is scored by its best format's log likelihood per character
 less that of ordinary words, learnt from plain words; those above the threshold are
 spans of kind ``format``. The base patterns' spans always stay; a candidate that
 lies inside a base span adds none.
@@ -59,7 +59,9 @@ FORMATS = {
 }
 EXAMPLES = 150
 MIN_CANDIDATE = 20
-THRESHOLD = 0.9
+#: A credential has at least so many different characters.
+MIN_VARIETY = 8
+THRESHOLD = 0.45
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{%d,}" % (MIN_CANDIDATE - 1))
 
 
@@ -245,7 +247,8 @@ def format_spans(text: str, base, tables, words, threshold: float, known: dict)
             if len(known) > 100_000:
                 known.clear()
             background = word_likelihood(words, value)
-            known[value] = max(likelihood(t, value) for t in tables.values()) - background >= threshold
+            best = max(likelihood(t, value) for t in tables.values()) if len(set(value)) >= MIN_VARIETY else float("-inf")
+            known[value] = best - background >= threshold
         if known[value] and not any(s < m.end() and m.start() < e for s, _, e in base):
             out.append((m.start(), 3, m.end()))
     return out
