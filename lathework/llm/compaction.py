@@ -30,6 +30,15 @@ from pyspark.sql.types import StructType
 from lathework.llm import common
 
 
+def _name(path: str) -> str:
+    """A file's folder and name; runs written by one task share the name alone."""
+    return "/".join(path.rsplit("/", 2)[1:])
+
+
+def _name_column() -> F.Column:
+    return F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1)
+
+
 class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
@@ -101,14 +110,14 @@ class ShardStore:
         nested.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard).parquet(folder)
         filled = self._written(folder, 0)
         counts = self._rows(folder, filled, nested)
-        new = [s | {"rows": counts[s["file"].rsplit("/", 1)[1]]} for s in filled if s["file"].rsplit("/", 1)[1] in counts]
+        new = [s | {"rows": counts[_name(s["file"])]} for s in filled if _name(s["file"]) in counts]
         return self.commit(before, before["shards"] + new, before["schema"] or arrival.schema.json())
 
     def _rows(self, folder: str, shards: list[dict], like: DataFrame) -> dict[str, int]:
         if not shards:
             return {}
         read = self.spark.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(folder)
-        return {r[0]: r[1] for r in read.groupBy(F.col("_metadata.file_name")).count().collect()}  # one row a shard
+        return {r[0]: r[1] for r in read.groupBy(_name_column()).count().collect()}  # one row a shard
 
     @staticmethod
     def _schema(manifest: dict) -> StructType:
@@ -142,11 +151,11 @@ class ShardStore:
         merges = self.plan(before["shards"])
         if not merges:
             return False
-        number = {s["file"].rsplit("/", 1)[1]: i for i, run in enumerate(merges) for s in run}
+        number = {_name(s["file"]): i for i, run in enumerate(merges) for s in run}
         # one row a shard of this round
         of = self.spark.createDataFrame(sorted(number.items()), "shard_name string, merge_run int")
         rows = self.spark.read.schema(self._schema(before)).parquet(*[s["file"] for run in merges for s in run])
-        packed = rows.select("row", F.col("_metadata.file_name").alias("shard_name"))
+        packed = rows.select("row", _name_column().alias("shard_name"))
         folder = f"{self.path}/data/m{uuid.uuid4().hex}"
         (
             packed.join(F.broadcast(of), "shard_name")
@@ -185,12 +194,12 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with ``shard`` (its number in the manifest), ``level`` and ``version``."""
         found = self.manifest(version)
-        names = [(s["file"].rsplit("/", 1)[1], i, s["level"]) for i, s in enumerate(found["shards"])]
+        names = [(_name(s["file"]), i, s["level"]) for i, s in enumerate(found["shards"])]
         of = self.spark.createDataFrame(names, "shard_name string, shard int, level int")
         files = [s["file"] for s in found["shards"]]
         reader = self.spark.read.schema(self._schema(found))
         rows = (
-            reader.parquet(*files).select("row", F.col("_metadata.file_name").alias("shard_name"))
+            reader.parquet(*files).select("row", _name_column().alias("shard_name"))
             if files
             else self.spark.createDataFrame([], self._schema(found).add("shard_name", "string"))
         )
