@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ class Tokens(dict):
         if len(self) >= self.limit:
             self.clear()
         core = _OUTER.sub("", word)
-        code = int.from_bytes(hashlib.blake2b(core.lower().encode(), digest_size=7).digest(), "little") << 4 | 0
+        code = int.from_bytes(hashlib.blake2b(core.lower().encode(), digest_size=7).digest(), "little") << 4
         if _NUMBER.fullmatch(core):
             code |= 1
         if core.lower() in UNITS:
@@ -69,21 +70,47 @@ class Tokens(dict):
         return code
 
 
-def templates(words: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes with all placeholders, codes without names, values) of the words that have a core."""
-    raw = np.fromiter(map(tokens.__getitem__, words), np.uint64, len(words))
-    flags, values = (raw & np.uint64(15)).astype(np.uint8), (raw >> np.uint64(4)) + np.uint64(8)
-    if not len(raw):
-        return values, values, values
-    before = np.concatenate([[8], flags[:-1]])
-    number = (flags & 1) > 0
-    unit = ((flags & 2) > 0) & ((before & 1) > 0)
-    name = ((flags & 4) > 0) & ((before & 8) == 0) & ~number & ~unit
-    plain = values.copy()
-    plain[number], plain[unit] = _NUM, _UNIT
-    full = plain.copy()
-    full[name] = _NAME
-    return full, plain, values
+class Templates:
+    """Template codes of the words of some texts, end to end.
+
+    ``full`` has all placeholders, ``plain`` all but names; ``of`` is each word's text, ``bounds`` where texts begin.
+    """
+
+    def __init__(self, texts: list[list[str]], tokens: Tokens):
+        self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        self.of = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
+        raw = np.fromiter(map(tokens.__getitem__, chain.from_iterable(texts)), np.uint64, int(self.bounds[-1]))
+        flags, self.values = (raw & np.uint64(15)).astype(np.uint8), (raw >> np.uint64(4)) + np.uint64(8)
+        before = np.concatenate([np.full(1, 8, np.uint8), flags[:-1]]) if len(flags) else flags
+        before[self.bounds[:-1][self.bounds[:-1] < len(before)]] = 8
+        number = (flags & 1) > 0
+        unit = ((flags & 2) > 0) & ((before & 1) > 0)
+        name = ((flags & 4) > 0) & ((before & 8) == 0) & ~number & ~unit
+        self.plain = self.values.copy()
+        self.plain[number], self.plain[unit] = _NUM, _UNIT
+        self.full = self.plain.copy()
+        self.full[name] = _NAME
+
+    def windows(self, length: int, keep: np.ndarray | None = None):
+        """(text, hash, start in it, slot pattern) of each usable window; ``keep`` filters hashes."""
+        out = []
+        if len(self.of) < length:
+            return out
+        inside = self.of[: len(self.of) - length + 1] == self.of[length - 1 :]
+        for which, codes in enumerate((self.full, self.plain)):
+            hashes = gram_hashes(codes, length, length).view(np.int64)
+            good = inside.copy()
+            if which:  # a window without names is there already
+                names = np.concatenate([[0], np.cumsum(self.full != self.plain)])
+                good &= names[length:] - names[:-length] > 0
+            if keep is not None:
+                good &= keep[np.minimum(np.searchsorted(keep, hashes), len(keep) - 1)] == hashes if len(keep) else False
+            for i in np.flatnonzero(good):
+                own = codes[i : i + length]
+                if (own >= 4).sum() >= min(LITERALS, length):
+                    text = int(self.of[i])
+                    out.append((text, int(hashes[i]), int(i - self.bounds[text]), slot_pattern(own, self.values[i : i + length])))
+        return out
 
 
 def slot_pattern(codes: np.ndarray, values: np.ndarray) -> str:
@@ -92,25 +119,9 @@ def slot_pattern(codes: np.ndarray, values: np.ndarray) -> str:
     return ",".join(str(seen.setdefault(int(v), len(seen))) for c, v in zip(codes, values) if c < 4)
 
 
-def windows(words: list[str], tokens: Tokens, length: int, keep=None, least: int = LEAST):
-    """(hash, start, slot pattern) of each usable window of ``length`` tokens; ``keep`` filters hashes."""
-    full, plain, values = templates(words, tokens)
-    out = []
-    if len(words) < max(length, least):
-        return out
-    for which, codes in enumerate((full, plain)):
-        if which and np.array_equal(full, plain):
-            break
-        hashes = gram_hashes(codes, length, length).view(np.int64)
-        if keep is not None:
-            at = np.flatnonzero(keep[np.minimum(np.searchsorted(keep, hashes), len(keep) - 1)] == hashes) if len(keep) else []
-        else:
-            at = range(len(hashes))
-        for i in at:
-            own = codes[i : i + length]
-            if (own >= 4).sum() >= min(LITERALS, length):
-                out.append((int(hashes[i]), int(i), slot_pattern(own, values[i : i + length])))
-    return out
+def windows(words: list[str], tokens: Tokens, length: int):
+    """(hash, start, slot pattern) of one text's usable windows."""
+    return [w[1:] for w in Templates([words], tokens).windows(length)] if length >= LEAST else []
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -137,17 +148,31 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(scan, "item_id long, length int, hash long, slots string").distinct()
 
 
+def _some(column: pa.Array, words: int = 200_000):
+    """(number of the first, words of each) of consecutive texts with about ``words`` words together."""
+    first, texts, n = 0, [], 0
+    for i, text in enumerate(column):
+        own = text.as_py().split()
+        texts.append(own)
+        n += len(own)
+        if n >= words:
+            yield first, texts
+            first, texts, n = i + 1, [], 0
+    if texts:
+        yield first, texts
+
+
 def _document_windows(lengths, keep):
     def scan(batches):
         tokens = Tokens()
         kept = keep.value if keep is not None else None
         for batch in batches:
             owner, length, hashes, starts, slots = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = text.split()
+            for lo, texts in _some(batch.column(1)):
+                found = Templates(texts, tokens)
                 for n in lengths:
-                    for h, s, pattern in windows(words, tokens, n, None if kept is None else kept[n]):
-                        owner.append(i)
+                    for i, h, s, pattern in found.windows(n, None if kept is None else kept[n]):
+                        owner.append(lo + i)
                         length.append(n)
                         hashes.append(h)
                         starts.append(s)

@@ -18,14 +18,16 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def gram_hashes(codes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A hash of each run of ``k`` consecutive codes, in order."""
+    """A hash of each run of ``k`` consecutive codes, in order: a polynomial of the seed's own base."""
     n = len(codes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = mix(codes[:n], seed)
+    base = np.uint64((0xD6E8FEB86659FD93 + 0x5851F42D4C957F2A * seed) & 0xFFFFFFFFFFFFFFFF)
+    total = codes[:n].copy()
     for j in range(1, k):
-        total = mix(total * np.uint64(0xD6E8FEB86659FD93) + codes[j : j + n], seed)
-    return total
+        total *= base
+        total += codes[j : j + n]
+    return mix(total, seed)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
