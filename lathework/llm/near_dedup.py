@@ -11,12 +11,11 @@ probability of about 0.6, so ten keys miss about one in ten thousand.
 
 Scale: the texts are scanned once for keys; equal texts are folded by a pre-aggregated
 group-by, so thousands of copies cost no pair. Within a key, pairs are never listed: in each
-round every key has one hub, each other member outside the hub's class is compared with
-it, found links join classes, and the next round takes the next hub. A key is done when
-its members are of one class or every member has been its hub. Rounds
-end when no key is open; keys still open after ``ROUNDS`` are split by each of their
-nodes' other keys, which separates texts that share a common passage only, and run as
-many rounds again. Texts are moved for nodes in shared keys only.
+round a key has up to ``HUBS`` hubs, each other member outside a hub's class is compared with
+it, found links join classes, and the next round takes the next hubs. A key is done when the
+members left are of one class. Keys still open after ``ROUNDS`` are split by each of their nodes'
+other keys, which separates texts that share a common passage only, and run as many rounds
+again. Texts are moved for nodes in shared keys only.
 
 Defined cases: null and empty texts are equal to each other; a text below five words
 has one shingle of all of them; null ids are ordered last and take part; equal rows are
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from lathework.llm import common
 from lathework.llm.kernels import SpanHash, gram_hashes, mix, scan_words
 
-SHINGLE, BANDS, SIMILARITY, ROUNDS = 5, 10, 0.8, 4
+SHINGLE, BANDS, SIMILARITY, ROUNDS, HUBS = 5, 10, 0.8, 2, 3
 _BLOCK = 1 << 16
 
 
@@ -150,76 +149,66 @@ def _verified(threshold: float):
     return scan
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: the least node of each connected component, by alternating stars.
+def components(links: DataFrame) -> DataFrame:
+    """``node, label``: the least node of each connected component of ``a, b``.
 
-    Each round links a node's larger neighbours to its least one, then its smaller ones;
-    both aggregate before the shuffle. Rounds end when the links stand still.
+    In each round a node takes the least label around it, then its label's label, so
+    rounds are logarithmic in a component's length where it is long. Each round is one
+    written table; minima are aggregated before the shuffle.
     """
-    links = common.materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
-    for _ in range(60):
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(least, "u")
-            .filter("v > u")
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .filter("u <> v")
-            .distinct()
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).filter("node <> other")
+    edges = common.materialize(both.distinct(), "edges")
+    labels = common.materialize(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+    while True:
+        told = labels.select(F.col("node").alias("other"), F.col("label").alias("heard"))
+        heard = edges.join(told, "other").groupBy("node").agg(F.min("heard").alias("heard"))
+        stepped = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("low"))
+        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jumped"))
+        after = stepped.join(jump, "low", "left").select(
+            "node", F.coalesce(F.least("jumped", "low"), "low").alias("label"), (F.coalesce(F.least("jumped", "low"), "low") < F.col("label")).alias("moved")
         )
-        large = common.materialize(large, "large")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        links = common.materialize(
-            large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct(),
-            "links",
-        )
-        state = links.agg(F.count(F.lit(1)), F.sum(F.crc32(F.concat("u", "v")))).first()
-        if state == before:
-            break
-        before = state
-    return links.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        after = common.materialize(after, "labels")
+        labels = after.select("node", "label")
+        if not after.filter("moved").take(1):
+            return labels
 
 
-def _rounds(members: DataFrame, texts: DataFrame, links: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """``links`` with those found between hubs and members, and the members of keys still open.
+def _rounds(members: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame | None, threshold: float, rounds: int):
+    """``links`` with those found, their components, and the members of keys still open.
 
-    A key's hub leaves it after its round, having met every other member.
+    In a round a key has up to ``HUBS`` hubs, the first members by hash of as many classes;
+    every member outside a hub's component is compared with it, then hubs leave the key. Hubs are
+    chosen by the node's hash alone, so keys that share nodes share hubs and repeat no comparison.
     """
-    members = members.select("key", "node", "n_words", F.xxhash64("node", "key").alias("turn"))
-    labels = components(links) if links.take(1) else None
+    members = members.select("key", "node", "n_words", F.xxhash64("node").alias("turn"))
     for _ in range(rounds):
-        rows = members.withColumn("label", F.col("node")) if labels is None else (
-            members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        )
-        state = rows.groupBy("key").agg(
-            (F.min("label") != F.max("label")).alias("open"),
-            F.min(F.struct("turn", "node", "n_words", "label")).alias("hub"),
-        )
-        hubs = state.filter("open").select("key", "hub.*").toDF("key", "hub_turn", "hub", "hub_words", "hub_label")
-        rows = common.materialize(rows.join(hubs, "key"), "open")
-        members = rows.filter("turn > hub_turn OR (turn = hub_turn AND node <> hub)").select("key", "node", "n_words", "turn")
-        pairs = (
-            rows.filter(F.col("label") != F.col("hub_label"))
-            .filter(F.least("n_words", "hub_words") >= F.floor(F.greatest("n_words", "hub_words") * (threshold - 1e-9)))
-            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-            .distinct()
-        )
+        rows = _labelled(members, labels)
+        turn = F.struct("turn", "node", "n_words", "label")
+        hubs = [F.min(F.when(F.pmod("turn", F.lit(HUBS)) == i, turn)) for i in range(HUBS)]
+        state = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open"), F.array_compact(F.array(*hubs)).alias("hubs"))
+        rows = common.materialize(rows.join(state.filter("open").select("key", "hubs"), "key"), "open")
+        if not rows.take(1):
+            return links, labels, members.limit(0)
+        met = rows.select("node", "n_words", "label", F.explode("hubs").alias("hub"))
+        met = met.filter((F.col("label") != F.col("hub.label")) & (F.least("n_words", "hub.n_words") >= F.floor(F.greatest("n_words", "hub.n_words") * (threshold - 1e-9))))
+        pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        members = rows.filter(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("key", "node", "n_words", "turn")
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
         found = pairs.join(ta, "a").join(tb, "b").select("a", "b", "x", "y")
         found = common.materialize(found.mapInArrow(_verified(threshold), "a binary, b binary"), "found")
         if found.take(1):
-            links = links.union(found)
+            links = found if links is None else links.union(found)
             labels = components(links)
-        elif not members.take(1):
-            break
-    if labels is not None:
-        rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    else:
-        rows = members.withColumn("label", F.col("node"))
+    rows = _labelled(members, labels)
     unlike = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("key")
-    return links, common.materialize(members.join(unlike, "key"), "left")
+    return links, labels, common.materialize(members.join(unlike, "key"), "left")
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def text_node(text: str) -> F.Column:
@@ -255,16 +244,17 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
     by_node = held.join(by_node, "node").select(row_key("who.doc_id", "node").alias("row_key"))
     own = texts.select("node", "text", row_key("doc_id", "node").alias("row_key")).join(by_node, "row_key")
     node_texts = common.materialize(own.select("node", "text").dropDuplicates(["node"]), "node_texts")
-    none = spark.createDataFrame([], "a binary, b binary")
-    links, open_members = _rounds(members.select("key", "node", "n_words"), node_texts, none, threshold, rounds)
-    if open_members.take(1):
+    links, labels, left = _rounds(members, node_texts, None, None, threshold, rounds)
+    if left.take(1):
         # keys that many unlike texts share: split them by each other key of their nodes
-        keyed = open_members.select("key", "node", "n_words").join(members.select("node", "keys").distinct(), "node")
+        keyed = left.select("key", "node", "n_words").join(members.select("node", "keys").distinct(), "node")
         finer = keyed.select(F.explode("keys").alias("other"), "key", "node", "n_words").filter("other <> key")
         finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "n_words").distinct()
         twice = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        links, _ = _rounds(common.materialize(finer.join(twice, "key"), "finer"), node_texts, links, threshold, rounds)
-    labels = components(links)
+        links, labels, _ = _rounds(common.materialize(finer.join(twice, "key"), "finer"), node_texts, links, labels, threshold, rounds)
+    if links is None:
+        links = spark.createDataFrame([], "a binary, b binary")
+        labels = spark.createDataFrame([], "node binary, label binary")
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = scanned.select("doc_id", "node").join(labels, "node", "left").join(degree, "node", "left")
     rows = rows.select("doc_id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
