@@ -91,6 +91,8 @@ class Sparse:
             if not words:
                 continue
             parts, weights = [], []
+            if len(known) > 50_000:
+                known.clear()
             for w, n in counts.items():
                 if w not in known:
                     known[w] = features(w)
@@ -101,11 +103,18 @@ class Sparse:
                 parts.append(np.array([number]))
                 weights.append(np.array([value]))
             ids, place = np.unique(np.concatenate(parts), return_inverse=True)
-            cols.append(ids)
-            values.append(np.bincount(place, weights=np.concatenate(weights)))
-            rows.append(np.full(len(ids), i))
-        join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-        self.n, self.rows, self.cols, self.values = len(texts), join(rows, np.int64), join(cols, np.int64), join(values, float)
+            cols.append(ids.astype(np.int32))
+            values.append(np.bincount(place, weights=np.concatenate(weights)).astype(np.float32))
+            rows.append(np.full(len(ids), i, np.int32))
+        join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
+        self.n, self.rows, self.cols, self.values = len(texts), join(rows, np.int32), join(cols, np.int32), join(values, np.float32)
+
+    def even(self) -> Sparse:
+        """Every other text, from the first on."""
+        out = Sparse([])
+        keep = self.rows % 2 == 0
+        out.n, out.rows, out.cols, out.values = (self.n + 1) // 2, self.rows[keep] // 2, self.cols[keep], self.values[keep]
+        return out
 
     def dot(self, w):
         return np.bincount(self.rows, weights=self.values * w[self.cols], minlength=self.n)
@@ -132,11 +141,11 @@ def _adam(gradient, steps: int, rate: float = 0.3):
     return w, b
 
 
-def class_prior(positive: Sparse, unlabelled: Sparse, texts_p: list[str], texts_u: list[str], steps: int = 60) -> float:
+def class_prior(positive: Sparse, unlabelled: Sparse, steps: int = 60) -> float:
     """The share of positives among the unlabelled, by best bin estimation on held-back halves."""
-    if len(texts_p) < 20 or len(texts_u) < 20:
+    if positive.n < 20 or unlabelled.n < 20:
         return 0.5
-    p1, u1 = Sparse(texts_p[::2]), Sparse(texts_u[::2])
+    p1, u1 = positive.even(), unlabelled.even()
 
     def gradient(w, b):
         ep = -(1 - _sigmoid(p1.dot(w) + b)) / p1.n
@@ -161,7 +170,7 @@ def train(texts_p: list[str], texts_u: list[str], steps: int = STEPS, prior: flo
         return np.zeros(WIDTH), 0.0, 0.5
     p, u = Sparse(texts_p), Sparse(texts_u)
     if prior is None:
-        prior = class_prior(p, u, texts_p, texts_u)
+        prior = class_prior(p, u)
 
     def gradient(w, b):
         fp, fu = p.dot(w) + b, u.dot(w) + b
