@@ -30,4 +30,4 @@ QUERIES = {
         toxicity.op10_toxicity,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_substring_dedup": substring_dedup.ORACLE}
