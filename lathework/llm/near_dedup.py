@@ -189,9 +189,15 @@ def _rounds(members: DataFrame, texts: DataFrame, links: DataFrame, labels: Data
         rows = common.materialize(rows.join(state.filter("open").select("key", "hubs"), "key"), "open")
         if not rows.take(1):
             return links, labels, members.limit(0)
-        met = rows.select("node", "n_words", "label", F.explode("hubs").alias("hub"))
-        met = met.filter((F.col("label") != F.col("hub.label")) & (F.least("n_words", "hub.n_words") >= F.floor(F.greatest("n_words", "hub.n_words") * (threshold - 1e-9))))
-        pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        outside = F.filter(
+            "hubs",
+            lambda h: (h["label"] != F.col("label"))
+            & (F.least(F.col("n_words"), h["n_words"]) >= F.floor(F.greatest(F.col("n_words"), h["n_words"]) * (threshold - 1e-9))),
+        )
+        # a node's keys share hubs: its few lists (one a key) are folded before they become rows
+        met = rows.select("node", F.transform(outside, lambda h: h["node"]).alias("own")).groupBy("node")
+        met = met.agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own")).select("node", F.explode("own").alias("hub"))
+        pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         members = rows.filter(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("key", "node", "n_words", "turn")
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
