@@ -13,9 +13,11 @@ Scale: the texts are scanned once for keys; equal texts are folded by a pre-aggr
 group-by, so thousands of copies cost no pair. Within a key, pairs are never listed: in each
 round a key has up to ``HUBS`` hubs, each other member outside a hub's class is compared with
 it, found links join classes, and the next round takes the next hubs. A key is done when the
-members left are of one class. Keys still open after ``ROUNDS`` are split by each of their nodes'
-other keys, which separates texts that share a common passage only, and run as many rounds
-again. Texts are moved for nodes in shared keys only.
+members left are of one class. What is left in keys still open after ``ROUNDS`` is compared
+exactly: two texts that may be linked share one of the rarest words of each (prefix filter), so
+texts that share a common passage only are not listed, and no pair of a key is left out. Pairs
+are listed there, so their number follows how many texts of a key share their rarest words.
+Texts are moved for nodes in shared keys only.
 
 Defined cases: null and empty texts are equal to each other; a text below five words
 has one shingle of all of them; null ids are ordered last and take part; equal rows are
@@ -34,6 +36,8 @@ from lathework.llm.kernels import SpanHash, gram_hashes, mix, scan_words
 
 SHINGLE, BANDS, SIMILARITY, ROUNDS, HUBS = 5, 10, 0.8, 2, 3
 _BLOCK = 1 << 16
+#: Buckets in which the words of the texts left are counted; they bound what the driver sees.
+_RANKS = 1 << 18
 
 
 def occurrence_numbered(grams: np.ndarray) -> np.ndarray:
@@ -199,10 +203,7 @@ def _rounds(members: DataFrame, texts: DataFrame, links: DataFrame, labels: Data
         met = met.agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own")).select("node", F.explode("own").alias("hub"))
         pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         members = rows.filter(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("key", "node", "n_words", "turn")
-        ta = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-        tb = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-        found = pairs.join(ta, "a").join(tb, "b").select("a", "b", "x", "y")
-        found = common.materialize(found.mapInArrow(_verified(threshold), "a binary, b binary"), "found")
+        found = _compared(pairs, texts, threshold)
         if found.take(1):
             links = found if links is None else links.union(found)
             labels = components(links)
@@ -211,6 +212,78 @@ def _rounds(members: DataFrame, texts: DataFrame, links: DataFrame, labels: Data
     return links, labels, common.materialize(members.join(unlike, "key"), "left")
 
 
+def _tokens(batch, hasher):
+    """(row, its words numbered by occurrence) of the texts in column 1."""
+    for words in scan_words(batch.column(1), hasher):
+        for i in range(words.n):
+            yield words.first + i, occurrence_numbered(words.text(i)) if words.bounds[i + 1] > words.bounds[i] else np.empty(0, np.uint64)
+
+
+def _word_counts(batches):
+    hasher, counts = SpanHash(), np.zeros(_RANKS, np.int64)
+    for batch in batches:
+        for _, tokens in _tokens(batch, hasher):
+            np.add.at(counts, (tokens % np.uint64(_RANKS)).astype(np.int64), 1)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["bucket", "n"])
+
+
+def _rarest(counts, threshold: float):
+    """``node, token`` of the words that a text linked to this one can't all lack, less those of no other text."""
+
+    def scan(batches):
+        hasher, known = SpanHash(), counts.value
+        for batch in batches:
+            owner, out = [], []
+            for i, tokens in _tokens(batch, hasher):
+                n = known[(tokens % np.uint64(_RANKS)).astype(np.int64)]
+                first = np.lexsort((tokens, n))[: int((1 - threshold) * len(tokens) + 1e-9) + 1]
+                first = first[n[first] > 1]
+                owner.append(np.full(len(first), i))
+                out.append(tokens[first].view(np.int64))
+            owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(np.concatenate(out) if out else [], pa.int64())], ["node", "token"]
+            )
+
+    return scan
+
+
+def _rest(left: DataFrame, texts: DataFrame, links: DataFrame | None, labels: DataFrame | None, threshold: float):
+    """``links`` with all those between members that a key of ``left`` holds, and their components.
+
+    Linked texts of at most ``n`` words share all but ``k = (1 - threshold) n`` of them, so by any one order of
+    the words a shared one is among the first ``k + 1`` of each; the order is by how rare words are here.
+    """
+    spark = left.sparkSession
+    own = common.materialize(texts.join(left.select("node").distinct(), "node").select("node", "text"), "left_texts")
+    counted = own.mapInArrow(_word_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_RANKS, np.int64)
+    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    counts = spark.sparkContext.broadcast(counts)
+    rare = own.mapInArrow(_rarest(counts, threshold), "node binary, token long")
+    rows = _labelled(left.select("key", "node", "n_words"), labels).join(rare, "node")
+    rows = common.materialize(rows.select(F.xxhash64("key", "token").alias("key"), "node", "n_words", "label"), "rare")
+    unlike = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("key")
+    rows = common.materialize(rows.join(unlike, "key"), "rare_open")
+    a, b = (rows.select("key", F.col("node").alias(x), F.col("n_words").alias(f"n_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
+    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
+    pairs = pairs.filter(F.least("n_a", "n_b") >= F.floor(F.greatest("n_a", "n_b") * (threshold - 1e-9)))
+    found = _compared(pairs.select("a", "b").distinct(), own, threshold)
+    if found.take(1):
+        links = found if links is None else links.union(found)
+        labels = components(links)
+    return links, labels
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that are links."""
+    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    found = pairs.join(ta, "a").join(tb, "b").select("a", "b", "x", "y")
+    return common.materialize(found.mapInArrow(_verified(threshold), "a binary, b binary"), "found")
+
+
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return members.withColumn("label", F.col("node"))
@@ -242,7 +315,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
         "sketches",
     )
     nodes = scanned.groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
-    every = nodes.select("node", "n_words", "keys", F.explode("keys").alias("key"))
+    every = nodes.select("node", "n_words", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = common.materialize(every.join(shared, "key"), "members")
     held = members.select("node").distinct()
@@ -252,12 +325,8 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
     node_texts = common.materialize(own.select("node", "text").dropDuplicates(["node"]), "node_texts")
     links, labels, left = _rounds(members, node_texts, None, None, threshold, rounds)
     if left.take(1):
-        # keys that many unlike texts share: split them by each other key of their nodes
-        keyed = left.select("key", "node", "n_words").join(members.select("node", "keys").distinct(), "node")
-        finer = keyed.select(F.explode("keys").alias("other"), "key", "node", "n_words").filter("other <> key")
-        finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "n_words").distinct()
-        twice = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        links, labels, _ = _rounds(common.materialize(finer.join(twice, "key"), "finer"), node_texts, links, labels, threshold, rounds)
+        # keys that many unlike texts share
+        links, labels = _rest(left, node_texts, links, labels, threshold)
     if links is None:
         links = spark.createDataFrame([], "a binary, b binary")
         labels = spark.createDataFrame([], "node binary, label binary")

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,6 +108,30 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in found} == {0}
 
 
+def keys_of(text):
+    words = next(near_dedup.scan_words(pa.array([text]), near_dedup.SpanHash()))
+    return set(near_dedup.band_keys(words.text(0)).tolist())
+
+
+def test_near_pairs_in_a_large_family_of_unlike_texts(spark):
+    rng = random.Random(12)
+    common = [f"l{i}" for i in range(70)]  # of 100 words
+    pairs, planted = [], []
+    for i in range(0, 4000, 2):
+        own = [f"u{rng.randrange(3000)}" for _ in range(30)]
+        pairs.append((i, " ".join(common + own)))
+        if i % 80 == 0:  # a near copy that shares the family's keys alone
+            for k in rng.sample(range(30), 14):
+                own[k] = f"x{rng.randrange(10**6)}"
+            pairs.append((i + 1, " ".join(common + own)))
+            if keys_of(pairs[-1][1]) & keys_of(pairs[-2][1]):
+                planted.append((i, i + 1))
+    class_of = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs_of(spark, pairs)).collect()}
+    assert len(planted) > 30
+    assert [p for p in planted if class_of[p[0]] != class_of[p[1]]] == []
+    assert len(set(class_of.values())) == len(pairs) - len(planted)
+
+
 def brute_edit(pairs):
     order = sorted(pairs, key=lambda p: (p[0] is None, -(p[0] or 0), p[1] or ""))
     out = []
