@@ -1,13 +1,15 @@
 """Near-dedup by Order MinHash with banded alignment (operator 9).
 
-Equal texts are one node. A node's elements are its 5-word shingles, each numbered by
+Equal texts are one node. A node's elements are its 3-word shingles, each numbered by
 its occurrence in the text. Under ``2 x BANDS`` hash orders the least element is
 sampled, with its place; each two of them, in text order, make a band key. Nodes that
 share a key are candidates; a candidate pair is a link if a banded alignment of the two
 texts' words (unit costs, band = the most edits that the threshold allows) leaves an
 edit similarity ``1 - edits / longer`` of at least ``SIMILARITY``. Classes are the
-connected components of links. Pairs with shingle similarity 0.8 or more share each key with
-probability of about 0.6, so ten keys miss about one in ten thousand.
+connected components of links. The keys are sized for the links' own similarity: where a fifth
+of the words is changed, evenly (edit similarity 0.8, the least), two texts share a key with a
+probability of about 0.12, so forty keys miss about one such pair in a hundred; with 15 % changed
+it is about 0.2 and one in ten thousand.
 
 Scale: the texts are scanned once for keys; equal texts are folded by a pre-aggregated
 group-by, so thousands of copies cost no pair. Within a key, pairs are never listed: in each
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from lathework.llm import common
 from lathework.llm.kernels import SpanHash, gram_hashes, mix, scan_words
 
-SHINGLE, BANDS, SIMILARITY, ROUNDS, HUBS = 5, 10, 0.8, 2, 3
-_BLOCK = 1 << 16
+SHINGLE, BANDS, SIMILARITY, ROUNDS, HUBS = 3, 40, 0.8, 2, 3
+_BLOCK = 1 << 12
 #: Buckets in which the words of the texts left are counted; they bound what the driver sees.
 _RANKS = 1 << 18
 
@@ -58,11 +60,11 @@ def band_keys(codes: np.ndarray, bands: int = BANDS, shingle: int = SHINGLE) ->
     if not len(codes):
         return np.empty(0, np.uint64)
     items = occurrence_numbered(gram_hashes(codes, min(shingle, len(codes))))
-    seeds = mix(np.arange(2 * bands, dtype=np.uint64), 5)[:, None]
+    seeds = (mix(np.arange(2 * bands, dtype=np.uint64), 5) | np.uint64(1))[:, None]
     best = np.full(2 * bands, np.iinfo(np.uint64).max, np.uint64)
     place = np.zeros(2 * bands, np.int64)
     for s in range(0, len(items), _BLOCK):
-        hashed = mix(items[None, s : s + _BLOCK] ^ seeds)
+        hashed = items[None, s : s + _BLOCK] * seeds  # the items are mixed already
         at = hashed.argmin(axis=1)
         value = hashed[np.arange(2 * bands), at]
         better = value < best

@@ -113,6 +113,21 @@ def keys_of(text):
     return set(near_dedup.band_keys(words.text(0)).tolist())
 
 
+def test_recall_of_the_keys_at_the_edit_similarity_of_links():
+    rng = random.Random(13)
+    for n, changed, least in ((40, 4, 0.99), (40, 8, 0.9), (100, 10, 0.99), (100, 15, 0.99), (100, 20, 0.95), (400, 80, 0.95)):
+        met = 0
+        for _ in range(200):
+            words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+            other = list(words)
+            for k in rng.sample(range(n), changed):
+                other[k] = f"x{rng.randrange(10**6)}"
+            x, y = " ".join(words), " ".join(other)
+            assert near_dedup.similar(x.encode(), y.encode())
+            met += bool(keys_of(x) & keys_of(y))
+        assert met >= least * 200, (n, changed, met)
+
+
 def test_near_pairs_in_a_large_family_of_unlike_texts(spark):
     rng = random.Random(12)
     common = [f"l{i}" for i in range(70)]  # of 100 words
