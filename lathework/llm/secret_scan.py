@@ -6,8 +6,10 @@ whole subtrees) are merged, which gives one probabilistic automaton for each for
 Every candidate of a text (a run of at least ``MIN_CANDIDATE`` characters of the
 credential alphabet, of enough variety) is scored by its best format's log likelihood per character
 less that of ordinary words, learnt from plain words; those above the threshold are
-spans of kind ``format``. The base patterns' spans always stay; a candidate that
-lies inside a base span adds none.
+spans of kind ``format``. Where a whole run is below it, its parts are scored: the automata
+start again after each mark and at each literal prefix of a format, parts end before marks,
+and the best parts that don't overlap are spans. The base patterns' spans always stay; a
+span that lies inside a base span is not added.
 
 The automata are learnt on the driver from a fixed number of examples made from the
 formats' public descriptions (``EXAMPLES`` each); they don't grow with the corpus.
@@ -62,6 +64,10 @@ MIN_CANDIDATE = 20
 #: A credential has at least so many different characters.
 MIN_VARIETY = 8
 THRESHOLD = 0.45
+#: A part's walk ends where the format is so much less likely (log odds) than ordinary words.
+BEHIND = 20.0
+_PREFIX = re.compile("|".join(sorted(re.escape(p[0]) for p in FORMATS.values() if isinstance(p[0], str))))
+_MARK = re.compile(r"[+/_.=-]")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{%d,}" % (MIN_CANDIDATE - 1))
 
 
@@ -238,20 +244,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def best_parts(text: str, tables, words, threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a run whose format likelihood stands out, by log odds, none overlapping."""
+    marks = [m.start() for m in _MARK.finditer(text)]
+    last = len(text) - MIN_CANDIDATE
+    starts = sorted({s for s in [m + 1 for m in marks] + [m.start() for m in _PREFIX.finditer(text)] if s <= last})
+    ends = {*marks, len(text)}
+    symbols = [symbol(c) for c in text]
+    plain = [c if c in _SHARE else "-" for c in symbols]
+    usual = [words[b][c] for b, c in zip(["-", *plain], plain)]
+    found = []
+    for s in starts:
+        for table in tables.values():
+            state, total, background = 0, 0.0, 0.0
+            for e in range(s, len(text)):
+                step = table[state].get(symbols[e])
+                total += _MISSING if step is None else step[0]
+                state = state if step is None else step[1]
+                background += usual[e] if e > s else words["-"][plain[e]]
+                n = e + 1 - s
+                if e + 1 in ends and n >= MIN_CANDIDATE:
+                    score = (total + table[state][""][0]) / (n + 1) - background / n
+                    if score >= threshold and len(set(text[s : e + 1])) >= MIN_VARIETY:
+                        found.append((score * n, s, e + 1))
+                if total - background < -BEHIND:
+                    break
+    out: list[tuple[int, int]] = []
+    for _, s, e in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+        if all(e <= a or b <= s for a, b in out):
+            out.append((s, e))
+    return out
+
+
 def format_spans(text: str, base, tables, words, threshold: float, known: dict) -> list[tuple[int, int, int]]:
-    """Candidates whose format likelihood stands out and that no base span holds."""
+    """Candidates, or parts of them, whose format likelihood stands out and that no base span holds."""
     out = []
     for m in _CANDIDATE.finditer(text):
         value = m.group()
         if value not in known:
             if len(known) > 100_000:
                 known.clear()
-            background = word_likelihood(words, value)
             best = max(likelihood(t, value) for t in tables.values()) if len(set(value)) >= MIN_VARIETY else float("-inf")
-            known[value] = best - background >= threshold
-        if known[value] and not any(s < m.end() and m.start() < e for s, _, e in base):
-            out.append((m.start(), 3, m.end()))
-    return out
+            whole = best - word_likelihood(words, value) >= threshold
+            known[value] = [(0, len(value))] if whole else best_parts(value, tables, words, threshold)
+        for s, e in known[value]:
+            s, e = m.start() + s, m.start() + e
+            if not any(a <= s and e <= b for a, _, b in base):
+                out.append((s, 3, e))
+    return sorted(out)
 
 
 def joined(spans) -> str:

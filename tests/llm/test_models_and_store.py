@@ -140,6 +140,24 @@ def test_no_labels(spark):
     assert secret_scan.secret_scan(none).count() == 0
 
 
+def test_glued_and_partly_covered_credentials():
+    tables, words = secret_scan.learn(secret_scan.labelled_credentials()), secret_scan.word_model()
+
+    def spans(text):
+        base = secret_scan.base_spans(text)
+        return secret_scan.format_spans(text, base, tables, words, secret_scan.THRESHOLD, {})
+
+    fresh = [c for name, c in secret_scan.labelled_credentials(20, seed=5) if name == "map_api"]
+    for lead in ("maps.browser.production.key=", "/v1/projects/main/settings/browser/"):
+        held = [any(s <= len(lead) and e >= len(lead + c) for s, _, e in spans(f"see {lead}{c} there"[4:])) for c in fresh]
+        assert sum(held) >= 19
+    # a hex run inside is a base span; the whole credential is a span all the same
+    payment = "sk_live_" + "0a1b2c3d4e5f6a7b8c9d0e1f"
+    assert secret_scan.base_spans(payment) and (0, 3, len(payment)) in spans(payment)
+    assert spans("0a1b2c3d4e5f6a7b8c9d0e1f0a1b2c3d") == []  # inside a base span
+    assert spans("/usr/share/documents/settings/browser/index.html and some-long-slug-of-plain-words-2024") == []
+
+
 def contents(store, version=None):
     return sorted((tuple(r.row) for r in store.read(version).collect()), key=str)
 
