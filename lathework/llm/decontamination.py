@@ -5,11 +5,12 @@ names (capitalised inside a sentence) ``<NAME>``, else the lower-cased word with
 outer marks. Windows of ``WINDOW`` tokens (the whole item, if it is shorter, down to
 ``LEAST``) are hash-joined between benchmark and documents. A joined window counts
 where its slots are consistent: equal values in the item's placeholders correspond to
-equal values in the document's and unlike ones to unlike, so a question with other
-numbers or names matches while prose that merely has numbers there does not. Windows
+equal values in the document's (unlike ones may become equal by chance), so a question with
+other numbers or names matches while prose that merely has numbers there does not. Windows
 with fewer than ``LITERALS`` literal tokens prove nothing and are left out. Since a
 passage's first word may be a name in one place and a sentence start in the other,
-windows are keyed both with and without name placeholders.
+windows are keyed both with and without name placeholders, and once more with the capitalised
+words that begin sentences as names too.
 
 Scale: benchmark windows are few; while there are at most ``FILTER_ROWS`` (checked) their
 hashes are broadcast and document windows are filtered in the scan. Beyond, documents'
@@ -73,7 +74,7 @@ class Tokens(dict):
 class Templates:
     """Template codes of the words of some texts, end to end.
 
-    ``full`` has all placeholders, ``plain`` all but names; ``of`` is each word's text, ``bounds`` where texts begin.
+    ``full`` has all placeholders, ``plain`` all but names, ``wide`` those of ``full`` and names that begin sentences; ``of`` is each word's text, ``bounds`` where texts begin.
     """
 
     def __init__(self, texts: list[list[str]], tokens: Tokens):
@@ -85,11 +86,14 @@ class Templates:
         before[self.bounds[:-1][self.bounds[:-1] < len(before)]] = 8
         number = (flags & 1) > 0
         unit = ((flags & 2) > 0) & ((before & 1) > 0)
-        name = ((flags & 4) > 0) & ((before & 8) == 0) & ~number & ~unit
+        capital = ((flags & 4) > 0) & ~number & ~unit
+        name = capital & ((before & 8) == 0)
         self.plain = self.values.copy()
         self.plain[number], self.plain[unit] = _NUM, _UNIT
         self.full = self.plain.copy()
         self.full[name] = _NAME
+        self.wide = self.plain.copy()
+        self.wide[capital] = _NAME
 
     def windows(self, length: int, keep: np.ndarray | None = None):
         """(text, hash, start in it, slot pattern) of each usable window; ``keep`` filters hashes."""
@@ -97,11 +101,11 @@ class Templates:
         if len(self.of) < length:
             return out
         inside = self.of[: len(self.of) - length + 1] == self.of[length - 1 :]
-        for which, codes in enumerate((self.full, self.plain)):
+        for codes in (self.full, self.plain, self.wide):
             hashes = gram_hashes(codes, length, length).view(np.int64)
             good = inside.copy()
-            if which:  # a window without names is there already
-                names = np.concatenate([[0], np.cumsum(self.full != self.plain)])
+            if codes is not self.full:  # a window without such names is there already
+                names = np.concatenate([[0], np.cumsum(self.full != codes)])
                 good &= names[length:] - names[:-length] > 0
             if keep is not None:
                 good &= keep[np.minimum(np.searchsorted(keep, hashes), len(keep) - 1)] == hashes if len(keep) else False
@@ -199,8 +203,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, fi
     found = common.texts_of(docs).mapInArrow(
         _document_windows(lengths, keep), "doc_id long, length int, hash long, start int, slots string"
     )
+    own, other = F.split("item_slots", ","), F.split("slots", ",")
+    # an item's value has one value in the document: that of its first place
+    mapped = F.zip_with(own, other, lambda i, d: F.element_at(other, F.array_position(own, i).cast("int")) == d)
     return (
-        found.join(items, ["length", "hash", "slots"])
+        found.join(items.withColumnRenamed("slots", "item_slots"), ["length", "hash"])
+        .filter(F.forall(mapped, lambda x: x))
         .groupBy("doc_id", "item_id")
         .agg(F.countDistinct("start").alias("n_windows"), F.min("start").alias("first_word"))
     )

@@ -231,6 +231,23 @@ def test_decontamination_catches_changed_numbers_and_names(spark):
     assert len(whole) > 0
 
 
+def test_decontamination_names_that_begin_sentences_and_values_equal_by_chance(spark):
+    items = [
+        (1, "Alice has 5 apples and buys 7 more apples at the shop today."),
+        (2, "A red box holds 5 blue marbles and 3 green ones on the shelf."),
+        (3, "A grey box holds 6 blue marbles and 6 green ones on the shelf."),
+    ]
+    pairs = [
+        (30, "Carla has 9 apples and buys 4 more apples at the shop today."),
+        (31, "A red box holds 4 blue marbles and 4 green ones on the shelf."),
+        (32, "A grey box holds 4 blue marbles and 9 green ones on the shelf."),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for filter_rows in (decontamination.FILTER_ROWS, 0):
+        rows = decontamination.contaminated(docs_of(spark, pairs), benchmark, filter_rows=filter_rows).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == {(30, 1), (31, 2)}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_dedup.near_classes(empty).count() == 0
