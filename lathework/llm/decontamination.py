@@ -2,12 +2,12 @@
 
 Each word becomes a template token: numbers ``<NUM>``, units after numbers ``<UNIT>``,
 names (capitalised inside a sentence) ``<NAME>``, else the lower-cased word without
-outer marks. Windows of ``WINDOW`` tokens (the whole item, if it is shorter, down to
-``LEAST``) are hash-joined between benchmark and documents. A joined window counts
+outer marks. Windows of ``WINDOW`` tokens (the whole item, if it is shorter) are hash-joined between benchmark and documents. A joined window counts
 where its slots are consistent: equal values in the item's placeholders correspond to
 equal values in the document's (unlike ones may become equal by chance), so a question with
-other numbers or names matches while prose that merely has numbers there does not. Windows
-with fewer than ``LITERALS`` literal tokens prove nothing and are left out. Since a
+other numbers or names matches while prose that merely has numbers there does not. Templates
+with fewer than ``LITERALS`` literal tokens prove nothing: such windows, and items shorter than
+``LEAST``, are joined by their very words, numbers and names (lower-cased, without outer marks). Since a
 passage's first word may be a name in one place and a sentence start in the other,
 windows are keyed both with and without name placeholders, and once more with the capitalised
 words that begin sentences as names too.
@@ -16,7 +16,7 @@ Scale: benchmark windows are few; while there are at most ``FILTER_ROWS`` (check
 hashes are broadcast and document windows are filtered in the scan. Beyond, documents'
 windows go to the same hash join unfiltered. Documents' texts are never shuffled.
 
-Defined cases: null or empty texts and items have no windows; an item or a document
+Defined cases: null or empty texts and items, and those of marks alone, have no windows; an item or a document
 with a null id still matches under that null id; repeated rows are counted once for
 each (doc_id, item_id); an empty benchmark gives no row.
 """
@@ -47,6 +47,9 @@ _OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _NUM, _UNIT, _NAME = 1, 2, 3  # codes below 4 are placeholders
 
 
+_BARE = np.uint64(int.from_bytes(hashlib.blake2b(b"", digest_size=7).digest(), "little") + 8)  # the value of a word of marks alone
+
+
 class Tokens(dict):
     """For each word: (lower-cased code, is a number, may be a unit, is capitalised, ends a sentence) in one integer."""
 
@@ -85,6 +88,8 @@ class Templates:
         before = np.concatenate([np.full(1, 8, np.uint8), flags[:-1]]) if len(flags) else flags
         before[self.bounds[:-1][self.bounds[:-1] < len(before)]] = 8
         number = (flags & 1) > 0
+        #: Words that are literals in every template whatever stands before them.
+        self.literal = (flags & 3) == 0
         unit = ((flags & 2) > 0) & ((before & 1) > 0)
         capital = ((flags & 4) > 0) & ~number & ~unit
         name = capital & ((before & 8) == 0)
@@ -101,7 +106,7 @@ class Templates:
         if len(self.of) < length:
             return out
         inside = self.of[: len(self.of) - length + 1] == self.of[length - 1 :]
-        for codes in (self.full, self.plain, self.wide):
+        for codes in (self.full, self.plain, self.wide) if length >= LEAST else ():
             hashes = gram_hashes(codes, length, length).view(np.int64)
             good = inside.copy()
             if codes is not self.full:  # a window without such names is there already
@@ -114,7 +119,23 @@ class Templates:
                 if (own >= 4).sum() >= min(LITERALS, length):
                     text = int(self.of[i])
                     out.append((text, int(hashes[i]), int(i - self.bounds[text]), slot_pattern(own, self.values[i : i + length])))
-        return out
+        return out + self._exact(length, inside, keep)
+
+    def _exact(self, length: int, inside: np.ndarray, keep: np.ndarray | None):
+        """Like ``windows``, by the words themselves, where templates may have too few literals."""
+        some = np.concatenate([[0], np.cumsum(self.values != _BARE)])
+        good = inside & (some[length:] - some[:-length] > 0)
+        if length >= LEAST:
+            literals = np.concatenate([[0], np.cumsum(self.literal)])
+            good &= literals[length:] - literals[:-length] < LITERALS
+        at = np.flatnonzero(good)
+        runs = np.lib.stride_tricks.sliding_window_view(self.values, length)
+        hashes = np.concatenate([np.empty(0, np.uint64), *(gram_hashes(runs[at[s : s + 8192]].T, length, length + 1000)[0] for s in range(0, len(at), 8192))])
+        hashes = hashes.view(np.int64)
+        if keep is not None:
+            held = keep[np.minimum(np.searchsorted(keep, hashes), len(keep) - 1)] == hashes if len(keep) else np.zeros(len(at), bool)
+            at, hashes = at[held], hashes[held]
+        return [(int(self.of[i]), int(h), int(i - self.bounds[self.of[i]]), "") for i, h in zip(at, hashes)]
 
 
 def slot_pattern(codes: np.ndarray, values: np.ndarray) -> str:
@@ -125,7 +146,7 @@ def slot_pattern(codes: np.ndarray, values: np.ndarray) -> str:
 
 def windows(words: list[str], tokens: Tokens, length: int):
     """(hash, start, slot pattern) of one text's usable windows."""
-    return [w[1:] for w in Templates([words], tokens).windows(length)] if length >= LEAST else []
+    return [w[1:] for w in Templates([words], tokens).windows(length)] if length else []
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -138,7 +159,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = text.split()
                 n = min(window, len(words))
-                for h, _, pattern in windows(words, tokens, n) if n >= LEAST else []:
+                for h, _, pattern in windows(words, tokens, n):
                     owner.append(i)
                     length.append(n)
                     hashes.append(h)

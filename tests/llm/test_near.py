@@ -248,6 +248,26 @@ def test_decontamination_names_that_begin_sentences_and_values_equal_by_chance(s
         assert {(r.doc_id, r.item_id) for r in rows} == {(30, 1), (31, 2)}
 
 
+def test_decontamination_of_short_and_number_heavy_items(spark):
+    items = [
+        (1, "What is photosynthesis exactly?"),
+        (2, "Solve 12 14 18 20 22 24 26 28 30 32 34 36 38 40 42 now"),
+        (3, "Add 7 and 9"),
+        (4, "..."),
+    ]
+    pairs = [
+        (40, "They asked: what is photosynthesis exactly? Nobody knew."),
+        (41, "Again: solve 12 14 18 20 22 24 26 28 30 32 34 36 38 40 42 now please"),
+        (42, "Again: solve 13 14 18 20 22 25 26 28 30 33 34 36 38 41 42 now please"),
+        (43, "Please add 7 and 8 - or 9 ..."),
+        (44, None),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for filter_rows in (decontamination.FILTER_ROWS, 0):
+        rows = decontamination.contaminated(docs_of(spark, pairs), benchmark, filter_rows=filter_rows).collect()
+        assert {(r.doc_id, r.item_id, r.n_windows) for r in rows} == {(40, 1, 1), (41, 2, 5)}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_dedup.near_classes(empty).count() == 0
