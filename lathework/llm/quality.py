@@ -34,6 +34,8 @@ from lathework.llm.toxicity import held_out, labelled
 
 BUCKETS, POSITIVES, UNLABELLED, STEPS = 1 << 15, 2000, 3000, 120
 WIDTH = BUCKETS + 2
+#: Shapes are made of so many characters at once, which bounds what is kept of them.
+PART = 200
 _RUNS = re.compile(r"(.)\1{2,}")
 
 
@@ -53,8 +55,8 @@ class Features:
         self.marks, self.shapes = _Marks(), {}
 
     def shape(self, word: str) -> str:
-        """The word's marks; runs are cut at three, words at 200."""
-        return _RUNS.sub(r"\1\1\1", word[:200].translate(self.marks))
+        """The word's marks; runs are cut at three."""
+        return _RUNS.sub(r"\1\1\1", word.translate(self.marks))
 
     def of_shape(self, shape: str) -> np.ndarray:
         if shape not in self.shapes:
@@ -66,7 +68,9 @@ class Features:
         return self.shapes[shape]
 
     def of(self, word: str) -> np.ndarray:
-        return np.append(self.of_shape(self.shape(word)), zlib.crc32(word.lower().encode()) % BUCKETS)
+        """A word's features; a long word's are those of all its parts of ``PART`` characters, and its own."""
+        shapes = [self.of_shape(self.shape(word[i : i + PART])) for i in range(0, len(word), PART)]
+        return np.append(np.concatenate(shapes), zlib.crc32(word.lower().encode()) % BUCKETS)
 
 
 def whole_text(words: list[str]) -> list[tuple[int, float]]:

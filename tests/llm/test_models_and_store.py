@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,14 @@ def test_positive_unlabelled(spark):
     assert quality.train([], mixed)[2] == 0.5
 
 
+def test_long_words_count_as_a_whole():
+    start = "ab1" * 67  # over 200 characters alike
+    features = quality.Features()
+    good, junk = features.of(start + "cde,Fgh." * 40), features.of(start + "%$#1" * 100)
+    assert len(set(good) - set(junk)) > 5 and len(set(junk) - set(good)) > 5
+    assert list(features.of("plain")) == list(np.append(features.of_shape("aaa"), zlib.crc32(b"plain") % quality.BUCKETS))
+
+
 def test_no_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = docs_of(spark, odd_pairs())
