@@ -61,9 +61,12 @@ def best_of(df: DataFrame, key: str, by: str, size: int, candidates: int, seed:
     return taken.join(F.broadcast(best), "candidate").select("candidate", "max_gap", "sum_gap", key, by)  # one row
 
 
-def assign_groups(sizes: dict[str, np.ndarray], targets: dict[str, float], seed: int = 42, restarts: int = 200, steps: int = 5000):
+def assign_groups(sizes: dict[str, np.ndarray], targets: dict[str, float], seed: int = 42, restarts: int = 800, steps: int = 30_000, negatives: bool = False):
     """Split of each group so that shares of rows (entry 0) and classes (the rest) meet the targets.
 
+    With ``negatives`` the last entry counts rows of no class, which weigh less. Errors are relative to the
+    targets; a share of rows more than 0.02 off its target costs extra.
+
     Greedy restarts in seeded orders, then annealing by moves and swaps of groups; the groups are few
     (components of a dataset), so this runs on the driver. Returns {group: split} and the cost.
     """
@@ -74,10 +77,15 @@ def assign_groups(sizes: dict[str, np.ndarray], targets: dict[str, float], seed:
     weight = np.array([sizes[g] for g in names], float)
     share = np.array([targets[s] for s in splits])
     whole = np.maximum(weight.sum(axis=0), 1e-12)
+    target = weight.sum(axis=0) * share[:, None]
+    factor = np.array([8.0] + [1.5] * (weight.shape[1] - 1))
+    if negatives:
+        factor[-1] = 0.1
 
     def cost(total):
-        gap = total / whole - share[:, None]
-        return 8 * (gap[:, 0] ** 2).sum() + 1.5 * (gap[:, 1:] ** 2).sum()
+        gap = (total - target) / np.maximum(target, 1.0)
+        beyond = np.maximum(np.abs(total[:, 0] / whole[0] - share) - 0.02, 0)
+        return float((gap**2 @ factor).sum() + 500 * (beyond**2).sum())
 
     best, best_cost = None, math.inf
     for _ in range(restarts):

@@ -251,12 +251,14 @@ def grouped_split(spark, sf_dir):
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce(F.sha2("text", 256), F.lit("")).alias("root"))
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(512)).cast("int"))
-    langs = sorted(r.lang for r in docs.select("lang").distinct().limit(64).collect() if r.lang is not None)
-    sums = docs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("lang") == x).alias(f"n_{i}") for i, x in enumerate(langs)])
+    sums = docs.groupBy("bucket", "lang").agg(F.count(F.lit(1)).alias("n")).collect()  # 512 buckets by languages
     import numpy as np
 
-    sizes = {str(r[0]): np.array(r[1:], float) for r in sums.collect()}
-    found, _ = sampling.assign_groups(sizes, {"train": 0.7, "val": 0.15, "test": 0.15})
+    place = {x: i for i, x in enumerate(sorted({r.lang for r in sums if r.lang is not None}), 1)}
+    sizes = {str(r.bucket): np.zeros(len(place) + 2) for r in sums}
+    for r in sums:
+        sizes[str(r.bucket)][[0, place.get(r.lang, -1)]] += r.n  # rows of no language last
+    found, _ = sampling.assign_groups(sizes, {"train": 0.7, "val": 0.15, "test": 0.15}, negatives=True)
     of = spark.createDataFrame([(int(b), s) for b, s in sorted(found.items())], "bucket int, assigned_split string")
     return docs.join(F.broadcast(of), "bucket").select("doc_id", "lang", "root", "assigned_split")  # at most 512 rows
 

@@ -321,3 +321,15 @@ def test_samples_and_splits(spark):
     for name, share in (("train", 0.7), ("val", 0.15), ("test", 0.15)):
         assert abs(sum(sizes[g][0] for g, s in split.items() if s == name) / total - share) < 0.03
     assert sampling.assign_groups({}, {"train": 1.0}) == ({}, 0.0)
+
+
+def test_grouped_split_balances_every_language(spark, tmp_path, monkeypatch):
+    from lathework.plans import audit
+
+    rows = [(i, f"l{i % 100:02d}", f"text {i}") for i in range(4000)] + [(4000, None, "none")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    monkeypatch.setattr(audit.sampling, "assign_groups", lambda sizes, targets, **k: (seen.update(sizes), ({g: "train" for g in sizes}, 0.0))[1])
+    assert audit.grouped_split(spark, str(tmp_path)).count() == 4001
+    total = sum(seen.values())
+    assert total[0] == 4001 and list(total[1:]) == [40.0] * 100 + [1.0]
