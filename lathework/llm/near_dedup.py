@@ -303,10 +303,11 @@ def row_key(doc_id: str, node: str) -> F.Column:
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, class_id, n_links, kept, node`` for each document.
+    """``doc_id, class_id, links_used, kept, node`` for each document.
 
-    ``class_id`` is the least id of its class, ``n_links`` the verified links of its
-    text, ``kept`` marks the rows of the class's first (id, text).
+    ``class_id`` is the least id of its class, ``links_used`` counts the links of its text that were
+    found on the way to its class (members of one class are not compared, so not all links),
+    ``kept`` marks the rows of the class's first (id, text).
     """
     spark = docs.sparkSession
     texts = common.texts_of(docs).withColumn("node", text_node("text"))
@@ -332,14 +333,14 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
     if links is None:
         links = spark.createDataFrame([], "a binary, b binary")
         labels = spark.createDataFrame([], "node binary, label binary")
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links_used"))
     rows = scanned.select("doc_id", "node").join(labels, "node", "left").join(degree, "node", "left")
-    rows = rows.select("doc_id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = rows.select("doc_id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("links_used", F.lit(0)).alias("links_used"))
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
     return rows.join(first, "label").select(
         "doc_id",
         F.col("first.doc_id").alias("class_id"),
-        "n_links",
+        "links_used",
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))).alias("kept"),
         "node",
     )
@@ -347,4 +348,4 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
 
 def op9_near_dedup(spark, sf_dir):
     found = near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "class_id", "n_links")
+    return found.select("doc_id", "class_id", "links_used")

@@ -108,6 +108,13 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in found} == {0}
 
 
+def test_links_used_are_named_so(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    found = near_dedup.near_classes(docs_of(spark, [(i, f"{text} x{i}") for i in range(4)] + [(9, "alone")])).collect()
+    used = {r.doc_id: r.links_used for r in found}
+    assert used[9] == 0 and all(1 <= used[i] <= 3 for i in range(4))
+
+
 def keys_of(text):
     words = next(near_dedup.scan_words(pa.array([text]), near_dedup.SpanHash()))
     return set(near_dedup.band_keys(words.text(0)).tolist())
