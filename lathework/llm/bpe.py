@@ -2,9 +2,10 @@
 
 For vocabularies with word ends over NFC, lower-cased text whose white space is dropped.
 Texts within ``LATIN`` are split into pre-tokens and merged here, each distinct
-pre-token once; all distinct pre-tokens merge side by side, a round at a time. Other
-texts, and those that hold a special string, go to the library whole: its Unicode
-tables decide there.
+pre-token once; all distinct pre-tokens merge side by side, a round at a time. Equal
+pre-tokens are found by hash and compared by their code points. Other texts, those that
+hold a special string, and chunks in which two pre-tokens share a hash go to the library
+whole: its Unicode tables decide there.
 
 Merging every occurrence of a word's best pair in one round equals merging one by one,
 since a pair with the new symbol ranks behind the merge that made the symbol (checked
@@ -19,12 +20,13 @@ import unicodedata
 
 import numpy as np
 
+from lathework.llm.kernels import SpanHash
+
 #: Code points that the fast path knows: Latin, general punctuation, the euro.
 LATIN = re.compile(f"[^{chr(0)}-{chr(0x24F)}{chr(0x2010)}-{chr(0x2027)}{chr(0x20AC)}]")
 #: The splitter's contractions.
 _ONE, _TWO = ("s", "t", "m", "d"), ("re", "ve", "ll")
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
-_BASE = 0x9E3779B97F4A7C55
 _INF = np.int64(1 << 40)
 CHUNK = 1 << 21
 
@@ -38,6 +40,13 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _gathered(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some spans end to end, and where each one's begin (and the last one's end)."""
+    lengths = ends - starts
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    return points[np.arange(int(at[-1])) + np.repeat(starts - at[:-1], lengths)], at
+
+
 class _PairTable:
     """Rank of a pair of symbols; collisions of one level go to the next."""
 
@@ -95,43 +104,32 @@ class VectorBPE:
         self.table = _PairTable(left << 20 | right, rank)
         self.kinds = _classes()
         self.limit = cache
-        self._powers(1 << 16)
+        self.hasher = SpanHash()
         self.sure = self._hashed(shortcuts or {})
         self._forget()
 
-    def _hashed(self, shortcuts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes, sorted, and ids of those shortcuts that the splitter leaves whole."""
+    def _hashed(self, shortcuts: dict[str, int]):
+        """Hashes, sorted, ids, code points end to end, and where each one's begin, of those shortcuts that the splitter leaves whole."""
         words = [w for w in shortcuts if not LATIN.search(w) and w]
         if not words:
-            return np.empty(0, np.uint64), np.empty(0, np.uint32)
+            return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint16), np.zeros(1, np.int64)
         points, ends = self._joined(words)
         starts, stops = self.split(points)
         begins = np.concatenate([[0], ends[:-1]])
         whole = np.isin(begins, starts) & np.isin(ends - 1, stops)
         whole &= np.searchsorted(starts, ends) - np.searchsorted(starts, begins) == 1
         ids = np.array([shortcuts[w] for w in words], np.uint32)[whole]
-        hashes = self._hash(points, begins[whole], ends[whole] - 1)
+        begins, stops = begins[whole], ends[whole] - 1
+        hashes = self.hasher.of_points(points, begins, stops)
         order = np.argsort(hashes)
-        return hashes[order], ids[order]
+        flat, at = _gathered(points, begins[order], stops[order])
+        return hashes[order], ids[order], flat.astype(np.uint16), at
 
     def _forget(self):
         """The known pre-tokens are the proven shortcuts again."""
-        self.known, self.pool = self.sure  # hashes, sorted; ids
+        self.known, self.pool, self.text, at = self.sure  # hashes, sorted; ids; code points
         self.begin, self.size = np.arange(len(self.pool)), np.ones(len(self.pool), np.int64)
-
-    def _hash(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(points) + 1 > len(self.up):
-            self._powers(len(points) + 1)
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(0x51ED270B)) * self.up[: len(points)], out=sums[1:])
-        return (sums[ends] - sums[starts]) * self.down[starts] ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-
-    def _powers(self, n: int):
-        inverse = pow(_BASE, -1, 1 << 64)
-        self.up, self.down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-        self.up[0] = self.down[0] = 1
-        np.cumprod(self.up, out=self.up)
-        np.cumprod(self.down, out=self.down)
+        self.text_begin, self.text_size = at[:-1], np.diff(at)
 
     # -- pre-tokens ---------------------------------------------------------
 
@@ -215,31 +213,53 @@ class VectorBPE:
     # -- texts ----------------------------------------------------------------
 
     def _tokens(self, points: np.ndarray):
-        """For each pre-token of ``points``: its start, and its number among the known."""
+        """For each pre-token of ``points``: its start, and its number among the known; None if two share a hash.
+
+        Hashes only propose: a pre-token is a known one if their code points are the same.
+        """
         starts, ends = self.split(points)
-        hashes = self._hash(points, starts, ends)
+        hashes = self.hasher.of_points(points, starts, ends)
         distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.known, distinct)
-        fresh = np.ones(len(distinct), bool)
-        inside = place < len(self.known)
-        fresh[inside] = self.known[place[inside]] != distinct[inside]
+        place = self._place(distinct)
+        fresh = place < 0
         if fresh.any():
             if len(self.known) + fresh.sum() > self.limit and len(self.known) > len(self.sure[0]):
                 self._forget()
-                place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-                fresh = self.known[place] != distinct if len(self.known) else np.ones(len(distinct), bool)
+                place = self._place(distinct)
+                fresh = place < 0
             take = first[fresh]
-            lengths = ends[take] - starts[take]
-            within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            ids, sizes = self.merge(points[np.repeat(starts[take], lengths) + within], lengths)
+            own, at = _gathered(points, starts[take], ends[take])
+            ids, sizes = self.merge(own, np.diff(at))
             self.known = np.concatenate([self.known, distinct[fresh]])
             self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
             self.pool = np.concatenate([self.pool, ids])
+            self.text_begin = np.concatenate([self.text_begin, len(self.text) + at[:-1]])
+            self.text_size = np.concatenate([self.text_size, np.diff(at)])
+            self.text = np.concatenate([self.text, own.astype(np.uint16)])
             order = np.argsort(self.known, kind="stable")
             self.known, self.begin, self.size = self.known[order], self.begin[order], self.size[order]
-            place = np.searchsorted(self.known, distinct)
-        return starts, place[number]
+            self.text_begin, self.text_size = self.text_begin[order], self.text_size[order]
+            place = self._place(distinct)
+        place = place[number]
+        if not self._same(points, starts, ends, place):
+            return None
+        return starts, place
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash among the known, or -1."""
+        place = np.searchsorted(self.known, hashes)
+        inside = np.minimum(place, len(self.known) - 1)
+        return np.where(self.known[inside] == hashes, inside, -1) if len(self.known) else np.full(len(hashes), -1)
+
+    def _same(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> bool:
+        """Whether each pre-token has the code points of the known one at its place."""
+        lengths = ends - starts
+        if not np.array_equal(lengths, self.text_size[place]):
+            return False
+        shift = np.repeat(self.text_begin[place] - starts, lengths)
+        at = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        return bool((points[at] == self.text[at + shift]).all())
 
     def normal(self, text: str) -> str | None:
         """The normalised text, or None where the library has to encode it."""
@@ -282,7 +302,11 @@ class VectorBPE:
                 out[numbers] = len(self.library.encode(text, add_special_tokens=False).ids)
                 continue
             points, ends = self._joined(parts)
-            starts, place = self._tokens(points)
+            found = self._tokens(points)
+            if found is None:
+                out[numbers] = [len(self.library.encode(texts[i], add_special_tokens=False).ids) for i in numbers]
+                continue
+            starts, place = found
             totals = np.concatenate([[0], np.cumsum(self.size[place])])
             upto = np.searchsorted(starts, ends)
             out[numbers] = np.diff(np.concatenate([[0], totals[upto]]))
@@ -295,7 +319,11 @@ class VectorBPE:
                 yield numbers, np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             points, ends = self._joined(parts)
-            starts, place = self._tokens(points)
+            found = self._tokens(points)
+            if found is None:
+                yield from ((i, np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)) for i in numbers)
+                continue
+            starts, place = found
             sizes, begins = self.size[place], self.begin[place]
             totals = np.cumsum(sizes)
             within = np.arange(int(totals[-1]) if len(totals) else 0) - np.repeat(totals - sizes, sizes)

@@ -41,8 +41,24 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
+#: Polynomials modulo 2^64 repeat for long regular spans, so longer ones are hashed in pieces of this many values.
+PIECE = 32
+
+
+def spans_of_pieces(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of some spans: their starts and ends, their numbers within the span, and where each span's begin."""
+    counts = -(-(ends - starts) // PIECE)
+    first = np.cumsum(counts) - counts
+    number = np.arange(int(counts.sum())) - np.repeat(first, counts)
+    begin = np.repeat(starts, counts) + number * PIECE
+    return begin, np.minimum(begin + PIECE, np.repeat(ends, counts)), number, first
+
+
 class SpanHash:
-    """64-bit hashes of spans of an integer array, from prefix sums of a random table's powers."""
+    """64-bit hashes of spans of an integer array, from prefix sums of a random table's powers.
+
+    A span of over ``PIECE`` values is the sum of its pieces' hashes, each mixed with its place.
+    """
 
     def __init__(self):
         self._table = mix(np.arange(256, dtype=np.uint64), 17)
@@ -60,6 +76,15 @@ class SpanHash:
             self._grow(len(values) + 1)
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self._up[: len(values)], out=sums[1:])
+        out = self._polynomial(sums, starts, ends)
+        long = np.flatnonzero(ends - starts > PIECE)
+        if len(long):
+            begin, end, number, first = spans_of_pieces(starts[long], ends[long])
+            parts = mix(self._polynomial(sums, begin, end) ^ mix(number.astype(np.uint64), 31), 37)
+            out[long] = mix(np.add.reduceat(parts, first) + (ends - starts)[long].astype(np.uint64), 41)
+        return out
+
+    def _polynomial(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((sums[ends] - sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
 
     def of_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

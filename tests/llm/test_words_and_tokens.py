@@ -127,3 +127,34 @@ def test_empty_tables(spark):
     assert packing.best_fit_packing(empty, PATH).count() == 0
     assert substring_dedup.substring_dedup(empty).count() == 0
     assert token_counts.token_counts(empty, PATH).count() == 0
+
+
+def thue_morse(letters, n):
+    """A word of ``n`` letters and its complement, which polynomials modulo 2^64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 8192])
+def test_long_regular_words_stay_apart(spark, n):
+    a, b = thue_morse("ab", n)
+    library, engine = Tokenizer.from_file(PATH), VectorBPE(PATH)
+    texts = [a, b, f"x {b} {a}"]
+    for i, ids in engine.ids(texts):
+        assert ids.tolist() == library.encode(texts[i], add_special_tokens=False).ids
+    assert engine.counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    head = " ".join(f"h{i}" for i in range(6))
+    tail = " ".join(f"t{i}" for i in range(6))
+    pairs = [(1, f"{head} {a} {tail}"), (2, f"{head} {b} {tail}"), (3, f"{head} {a} {tail} z")]
+    found = substring_dedup.substring_dedup(docs_of(spark, pairs)).drop("kept_text").collect()
+    assert sorted(map(tuple, found), key=str) == brute_substrings(pairs)
+
+
+def test_a_shared_hash_sends_the_chunk_to_the_library():
+    library, engine = Tokenizer.from_file(PATH), VectorBPE(PATH)
+    engine.hasher.of_points = lambda points, starts, ends: (ends - starts).astype(np.uint64)
+    texts = ["one two three", "six ten", ""]
+    assert engine.counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert {i: ids.tolist() for i, ids in engine.ids(texts)} == {
+        i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)
+    }
