@@ -6,15 +6,18 @@ in a document with a smaller ``doc_id``.
 
 Seed: the anchor of a window is the least hash among its 4-word grams (winnowing).
 It depends on the window's words alone, so equal windows have equal anchors, and a
-window whose anchor stands in one document only cannot repeat. Extend: an anchor
-shared by documents is extended to the left and right to every window that it
-anchors; windows are joined on a 96-bit hash of all their words with the least
-document that has them. Keep: runs of covered words are the maximal repeats, none
-shorter than ``length``.
-
-Scale: one anchor for about 5.5 words is shuffled, aggregated before the shuffle;
-windows are made only where an anchor is shared. The joins on anchors and windows
-are plain equi-joins, which Spark splits where a key is hot; no group is collected.
+window whose anchor stands in one document only cannot repeat. Neighbouring windows
+mostly share an anchor: such a run is one row. Extend: the runs of an anchor that
+documents share are extended to the left and right to every window that the anchor
+holds; windows are joined on (anchor, 64-bit hash of all their words), 128 bits
+together, with the least document that has them. Keep: runs of covered words are the
+maximal repeats, none shorter than ``length``.
+
+Scale: the scan is run twice, for the anchors alone (aggregated before the shuffle) and
+for the runs with their windows' hashes, so the joins move hashes and places, never
+texts; texts are shuffled once, to meet the places to remove. The joins on anchors and
+windows are plain equi-joins, which Spark splits where a key is hot. What is collected
+is one document's places, a set.
 
 Defined cases: a null or empty text has no words; a null ``doc_id`` is not smaller
 than any and none is smaller than it (nothing is removed from it); rows that share
@@ -34,6 +37,8 @@ from lathework.llm import common
 from lathework.llm.kernels import SpanHash, Words, gram_hashes, scan_words, sliding_min
 
 GRAM = 4
+#: Runs in one Arrow batch.
+SLICE = 20_000
 
 
 def _anchors(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,20 +50,25 @@ def _anchors(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, anchors[at]
 
 
+def _runs(owner: np.ndarray, anchors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where a new run begins: another anchor, another text, a gap, or after some 1,024 windows."""
+    new = at % 1024 == 0
+    new[:1] = True
+    new[1:] |= (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
+    return np.flatnonzero(new)
+
+
 def _seeds(length: int):
     def scan(batches):
         hasher = SpanHash()
         for batch in batches:
-            for words in scan_words(batch.column(2), hasher):
+            for words in scan_words(batch.column(1), hasher):
                 at, anchors = _anchors(words, length)
-                owner = words.of[at]
-                new = np.ones(len(at), bool)
-                new[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
-                if new.any():
-                    rows = pa.array(words.first + owner[new])
+                new = _runs(words.of[at], anchors, at)
+                if len(new):
+                    rows = pa.array(words.first + words.of[at[new]])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchors[new].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)],
-                        ["anchor", "doc_id", "row_key"],
+                        [pa.array(anchors[new].view(np.int64)), batch.column(0).take(rows)], ["anchor", "doc_id"]
                     )
 
     return scan
@@ -68,37 +78,42 @@ def _extended(length: int):
     def scan(batches):
         hasher = SpanHash()
         for batch in batches:
-            shared = batch.column(3)
             for words in scan_words(batch.column(2), hasher):
                 at, anchors = _anchors(words, length)
-                keep = np.zeros(len(at), bool)
-                owner = words.of[at]
-                for i in range(words.n):
-                    lo, hi = np.searchsorted(owner, [i, i + 1])
-                    own = np.asarray(shared[words.first + i].values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                    keep[lo:hi] = np.isin(anchors[lo:hi], own)
-                at, owner = at[keep], owner[keep]
-                if len(at):
-                    first = gram_hashes(words.codes, length, 1)[at].view(np.int64)
-                    second = (gram_hashes(words.codes, length, 2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    rows = pa.array(words.first + owner)
+                new = _runs(words.of[at], anchors, at)
+                if not len(new):
+                    continue
+                windows = gram_hashes(words.codes, length, 1)[at].view(np.int64)
+                owner = words.of[at[new]]
+                rows = pa.array(words.first + owner)
+                for lo in range(0, len(new), SLICE):
+                    some = slice(lo, lo + SLICE)
+                    own, ends = new[some], np.append(new, len(at))[lo : lo + SLICE + 1][-1]
+                    offsets = np.append(own, ends).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(first),
-                            pa.array(second),
-                            batch.column(0).take(rows),
-                            batch.column(1).take(rows),
-                            pa.array((at - words.bounds[owner]).astype(np.int32)),
+                            pa.array(anchors[own].view(np.int64)),
+                            batch.column(0).take(rows[some]),
+                            batch.column(1).take(rows[some]),
+                            pa.array((at[own] - words.bounds[owner[some]]).astype(np.int32)),
+                            pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(windows[offsets[0] : ends])),
                         ],
-                        ["w1", "w2", "doc_id", "row_key", "at"],
+                        ["anchor", "doc_id", "row_key", "at", "windows"],
                     )
 
     return scan
 
 
+def _sliced(batches):
+    """The batches in slices of some 200 rows, so that a slice's words and kept texts are all that is held."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 200):
+            yield batch.slice(lo, 200)
+
+
 def _kept(length: int):
     def scan(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             n_words, n_removed, digest, kept_texts = [], [], [], []
             for text, starts in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
                 words = text.as_py().split()
@@ -144,36 +159,34 @@ def substring_dedup(docs: DataFrame, length: int = 13) -> DataFrame:
     else:  # each id has one text: a key of zero costs next to nothing in a shuffle
         rows = rows.withColumn("row_key", F.lit(0).cast("long"))
     known = rows.filter("doc_id IS NOT NULL").select("doc_id", "row_key", "text")
-    seeds = known.mapInArrow(_seeds(length), "anchor long, doc_id long, row_key long")
     shared = common.materialize(
-        seeds.groupBy("anchor")
+        known.select("doc_id", "text")
+        .mapInArrow(_seeds(length), "anchor long, doc_id long")
+        .groupBy("anchor")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .filter("first < last")
         .select("anchor"),
         "anchors",
     )
-    per_doc = common.materialize(
-        seeds.join(shared, "anchor").groupBy("doc_id", "row_key").agg(F.collect_set("anchor").alias("anchors")),
-        "seeded",
-    )
+    runs = known.mapInArrow(_extended(length), "anchor long, doc_id long, row_key long, at int, windows array<long>")
     windows = common.materialize(
-        known.join(per_doc, ["doc_id", "row_key"])
-        .select("doc_id", "row_key", "text", "anchors")
-        .mapInArrow(_extended(length), "w1 long, w2 int, doc_id long, row_key long, at int"),
+        runs.join(shared, "anchor")
+        .select("anchor", "doc_id", "row_key", "at", F.posexplode("windows").alias("step", "window"))
+        .select("anchor", "window", "doc_id", "row_key", (F.col("at") + F.col("step")).alias("at")),
         "windows",
     )
     first = common.materialize(
-        windows.groupBy("w1", "w2")
+        windows.groupBy("anchor", "window")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .filter("first < last")
-        .select("w1", "w2", "first"),
+        .select("anchor", "window", "first"),
         "first",
     )
     covered = common.materialize(
-        windows.join(first, ["w1", "w2"])
+        windows.join(first, ["anchor", "window"])
         .filter("first < doc_id")
         .groupBy("doc_id", "row_key")
-        .agg(F.collect_list("at").alias("starts")),
+        .agg(F.collect_set("at").alias("starts")),
         "covered",
     )
     return (
