@@ -1,25 +1,28 @@
 """Near-dedup by Order MinHash with banded alignment (operator 9).
 
-Equal texts are one node. A node's elements are its 3-word shingles, each numbered by
-its occurrence in the text. Under ``2 x BANDS`` hash orders the least element is
-sampled, with its place; each two of them, in text order, make a band key. Nodes that
-share a key are candidates; a candidate pair is a link if a banded alignment of the two
-texts' words (unit costs, band = the most edits that the threshold allows) leaves an
-edit similarity ``1 - edits / longer`` of at least ``SIMILARITY``. Classes are the
-connected components of links. The keys are sized for the links' own similarity: where a fifth
-of the words is changed, evenly (edit similarity 0.8, the least), two texts share a key with a
-probability of about 0.12, so forty keys miss about one such pair in a hundred; with 15 % changed
-it is about 0.2 and one in ten thousand.
+Equal texts are one node. A node's elements are its 5-word shingles, each numbered by
+its occurrence in the text. Under ``MINIMA`` hash orders the least element is sampled,
+with its place; each key takes a sample and the next order's one, in text order. Nodes that share a key are candidates; a candidate pair is a link if
+a banded alignment of the two texts' words (unit costs, band = the most edits that the threshold
+allows) leaves an edit similarity ``1 - edits / longer`` of at least ``SIMILARITY``. Classes are the
+connected components of links. The number of keys follows the links' own similarity: with a tenth of
+the words changed, evenly, two texts share about 0.41 of their shingles and practically all pairs
+share a key; with 15 % all but a few in a thousand; with 20 % (edit similarity 0.8, the least)
+97 to 98 of 100 at 100 words and more, 93 at 40 words, 82 at 20 words.
 
 Scale: the texts are scanned once for keys; equal texts are folded by a pre-aggregated
-group-by, so thousands of copies cost no pair. Within a key, pairs are never listed: in each
-round a key has up to ``HUBS`` hubs, each other member outside a hub's class is compared with
-it, found links join classes, and the next round takes the next hubs. A key is done when the
-members left are of one class. What is left in keys still open after ``ROUNDS`` is compared
-exactly: two texts that may be linked share one of the rarest words of each (prefix filter), so
-texts that share a common passage only are not listed, and no pair of a key is left out. Pairs
-are listed there, so their number follows how many texts of a key share their rarest words.
-Texts are moved for nodes in shared keys only.
+group-by, so thousands of copies cost no pair. Keys travel with a 64-bit number of the node only
+(two nodes of one number are both compared). Within a key, pairs are never listed. First each
+node meets one text: the least by hash in any of its keys, so a large group becomes a star in one
+step. Then, in rounds, each key whose members are of several classes compares all of them with one
+of its smallest class, which leaves the key. What is left in keys still open after ``ROUNDS``
+is compared exactly: two texts that may be linked share one of the rarest words of each (prefix
+filter), so no pair of a key is left out. There the members outside a key's largest class meet
+the others in an equi-join on the key's least member and a rare word, whose condition drops pairs that differ
+in too many words by a parity of their words in 256 buckets, then in 1,024; what passes is listed, so the number of
+pairs follows how many alike texts of different classes share their rarest words. Only pairs
+that pass the parity and the lengths move texts. Classes are contracted: each round joins
+classes, not all links from the start.
 
 Defined cases: null and empty texts are equal to each other; a text below five words
 has one shingle of all of them; null ids are ordered last and take part; equal rows are
@@ -28,18 +31,23 @@ members of the same class; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathework.llm import common
 from lathework.llm.kernels import SpanHash, gram_hashes, mix, scan_words
 
-SHINGLE, BANDS, SIMILARITY, ROUNDS, HUBS = 3, 40, 0.8, 2, 3
+SHINGLE, MINIMA, SIMILARITY, ROUNDS = 5, 128, 0.8, 3
 _BLOCK = 1 << 12
 #: Buckets in which the words of the texts left are counted; they bound what the driver sees.
 _RANKS = 1 << 18
+#: Bits of a text's parity, in longs, and of its folded form.
+_BITS, _FOLDED = 1024, 256
 
 
 def occurrence_numbered(grams: np.ndarray) -> np.ndarray:
@@ -55,24 +63,30 @@ def occurrence_numbered(grams: np.ndarray) -> np.ndarray:
     return mix(grams + number * np.uint64(0xA0761D6478BD642F))
 
 
-def band_keys(codes: np.ndarray, bands: int = BANDS, shingle: int = SHINGLE) -> np.ndarray:
-    """The band keys of a text's word codes; none for a text without words."""
+def band_keys(codes: np.ndarray, minima: int = MINIMA, shingle: int = SHINGLE) -> np.ndarray:
+    """The keys of a text's word codes; none for a text without words."""
     if not len(codes):
         return np.empty(0, np.uint64)
     items = occurrence_numbered(gram_hashes(codes, min(shingle, len(codes))))
-    seeds = (mix(np.arange(2 * bands, dtype=np.uint64), 5) | np.uint64(1))[:, None]
-    best = np.full(2 * bands, np.iinfo(np.uint64).max, np.uint64)
-    place = np.zeros(2 * bands, np.int64)
+    seeds = (mix(np.arange(minima, dtype=np.uint64), 5) | np.uint64(1))[:, None]
+    best = np.full(minima, np.iinfo(np.uint64).max, np.uint64)
+    place = np.zeros(minima, np.int64)
     for s in range(0, len(items), _BLOCK):
         hashed = items[None, s : s + _BLOCK] * seeds  # the items are mixed already
         at = hashed.argmin(axis=1)
-        value = hashed[np.arange(2 * bands), at]
+        value = hashed[np.arange(minima), at]
         better = value < best
         best[better], place[better] = value[better], at[better] + s
-    first, second = best[0::2], best[1::2]
-    swap = place[0::2] > place[1::2]
-    left, right = np.where(swap, second, first), np.where(swap, first, second)
-    return mix(mix(left) * np.uint64(3) + right + np.arange(bands, dtype=np.uint64))
+    after, after_place = np.roll(best, -1), np.roll(place, -1)
+    swap = place > after_place
+    left, right = np.where(swap, after, best), np.where(swap, best, after)
+    return mix(mix(left) * np.uint64(3) + right + np.arange(minima, dtype=np.uint64))
+
+
+def parity(codes: np.ndarray) -> np.ndarray:
+    """Of each of ``_BITS`` buckets of words, whether the text has an odd number; differs in no more bits than texts in words."""
+    odd = np.bincount((codes % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def edits_within(a: list, b: list, band: int) -> int | None:
@@ -119,38 +133,60 @@ def edits_within(a: list, b: list, band: int) -> int | None:
     return score if score <= band else None
 
 
+class Text:
+    """A text's words and how often each occurs."""
+
+    def __init__(self, text: bytes):
+        self.words = text.split()
+        self.counts = Counter(self.words)
+
+
+def alike(x: Text, y: Text, threshold: float = SIMILARITY) -> bool:
+    longer = max(len(x.words), len(y.words))
+    edits = int((1 - threshold) * longer + 1e-9)
+    few, many = (x.counts, y.counts) if len(x.counts) < len(y.counts) else (y.counts, x.counts)
+    if sum(min(n, many.get(w, 0)) for w, n in few.items()) < longer - edits:
+        return False  # every word that is kept is common to both
+    return not longer or edits_within(x.words, y.words, edits) is not None
+
+
 def similar(a: bytes, b: bytes, threshold: float = SIMILARITY) -> bool:
-    x, y = a.split(), b.split()
-    longer = max(len(x), len(y))
-    return not longer or edits_within(x, y, int((1 - threshold) * longer + 1e-9)) is not None
+    return alike(Text(a), Text(b), threshold)
 
 
 def _sketches(batches):
     hasher = SpanHash()
     for batch in batches:
-        n_words, keys = [], []
+        n_words, keys, bits = [], [], []
         for words in scan_words(batch.column(2), hasher):
             n_words.append(np.diff(words.bounds))
             keys += [band_keys(words.text(i)).view(np.int64) for i in range(words.n)]
+            bits += [parity(words.text(i)) for i in range(words.n)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
                 pa.array(np.concatenate(n_words) if n_words else [], pa.int64()),
                 pa.array(keys, pa.list_(pa.int64())),
+                pa.array(bits, pa.list_(pa.int64())),
             ],
-            ["doc_id", "node", "n_words", "keys"],
+            ["doc_id", "node", "n_words", "keys", "bits"],
         )
 
 
 def _verified(threshold: float):
     def scan(batches):
         for batch in batches:
-            good = [similar(x, y, threshold) for x, y in zip(*(batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3)))]
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"]
-            )
+            for lo in range(0, batch.num_rows, 500):
+                some, good = batch.slice(lo, 500), []
+                last = (None, None)
+                for x, y in zip(*(some.column(k).cast(pa.binary()) for k in (2, 3))):
+                    y = y.as_py()
+                    if y != last[0]:  # rows of one text lie together
+                        last = (y, Text(y))
+                    good.append(alike(Text(x.as_py()), last[1], threshold))
+                mask = pa.array(good, pa.bool_())
+                yield pa.RecordBatch.from_arrays([some.column(0).filter(mask), some.column(1).filter(mask)], ["a", "b"])
 
     return scan
 
@@ -179,39 +215,84 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _rounds(members: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame | None, threshold: float, rounds: int):
-    """``links`` with those found, their components, and the members of keys still open.
-
-    In a round a key has up to ``HUBS`` hubs, the first members by hash of as many classes;
-    every member outside a hub's component is compared with it, then hubs leave the key. Hubs are
-    chosen by the node's hash alone, so keys that share nodes share hubs and repeat no comparison.
-    """
-    members = members.select("key", "node", "n_words", F.xxhash64("node").alias("turn"))
-    for _ in range(rounds):
-        rows = _labelled(members, labels)
-        turn = F.struct("turn", "node", "n_words", "label")
-        hubs = [F.min(F.when(F.pmod("turn", F.lit(HUBS)) == i, turn)) for i in range(HUBS)]
-        state = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open"), F.array_compact(F.array(*hubs)).alias("hubs"))
-        rows = common.materialize(rows.join(state.filter("open").select("key", "hubs"), "key"), "open")
-        if not rows.take(1):
-            return links, labels, members.limit(0)
-        outside = F.filter(
-            "hubs",
-            lambda h: (h["label"] != F.col("label"))
-            & (F.least(F.col("n_words"), h["n_words"]) >= F.floor(F.greatest(F.col("n_words"), h["n_words"]) * (threshold - 1e-9))),
-        )
-        # a node's keys share hubs: its few lists (one a key) are folded before they become rows
-        met = rows.select("node", F.transform(outside, lambda h: h["node"]).alias("own")).groupBy("node")
-        met = met.agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own")).select("node", F.explode("own").alias("hub"))
-        pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        members = rows.filter(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("key", "node", "n_words", "turn")
-        found = _compared(pairs, texts, threshold)
-        if found.take(1):
-            links = found if links is None else links.union(found)
-            labels = components(links)
-    rows = _labelled(members, labels)
-    unlike = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("key")
-    return links, labels, common.materialize(members.join(unlike, "key"), "left")
+def _may_link(left: str, right: str, threshold: float, bits: int = _BITS) -> F.Column:
+    """Whether lengths and parities of two texts allow a link: ``e`` edits change at most ``2 e`` less the lengths' difference words."""
+    n, m = F.col(f"n_{left}"), F.col(f"n_{right}")
+    edits = F.floor(F.greatest(n, m) * F.lit(1 - threshold) + F.lit(1e-6))
+    one = lambda i: F.bit_count(F.col(f"bits_{left}")[i].bitwiseXOR(F.col(f"bits_{right}")[i]))
+    apart = sum((one(i) for i in range(1, bits // 64)), one(0))
+    return (F.abs(n - m) <= edits) & (apart <= 2 * edits - F.abs(n - m))
+
+
+def _side(texts: DataFrame, side: str) -> DataFrame:
+    return texts.select(F.col("node").alias(side), F.col("n_words").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+
+
+class _Classes:
+    """Links found so far, and the class of each node that has any; classes are joined, never found anew."""
+
+    def __init__(self, texts: DataFrame, threshold: float):
+        self.texts, self.threshold, self.links, self.labels = texts, threshold, None, None
+
+    def compare(self, met: DataFrame) -> None:
+        """Links among the pairs ``turn, hub`` of nodes' numbers."""
+        turns = self.texts.select("turn", F.col("node").alias("a"))
+        hubs = self.texts.select(F.col("turn").alias("hub"), F.col("node").alias("b"))
+        pairs = met.join(turns, "turn").join(hubs, "hub").filter("a <> b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        self.add(pairs)
+
+    def add(self, pairs: DataFrame) -> None:
+        """Aligns those of the distinct pairs of nodes that may be links; those that are join classes."""
+        pairs = pairs.join(_side(self.texts, "a"), "a").join(_side(self.texts, "b"), "b").filter(_may_link("a", "b", self.threshold)).select("a", "b")
+        x = self.texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+        y = self.texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+        found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        found = common.materialize(found.mapInArrow(_verified(self.threshold), "a binary, b binary"), "found")
+        if not found.take(1):
+            return
+        self.links = found if self.links is None else self.links.union(found)
+        if self.labels is None:
+            self.labels = components(found)
+            return
+        ends = found
+        for side in "ab":
+            own = self.labels.select(F.col("node").alias(side), F.col("label").alias("_l"))
+            ends = ends.join(own, side, "left").withColumn(side, F.coalesce("_l", side)).drop("_l")
+        joined = components(ends.filter("a <> b").distinct())
+        after = joined.select(F.col("node").alias("label"), F.col("label").alias("after"))
+        old = self.labels.join(after, "label", "left").select("node", F.coalesce("after", "label").alias("label"))
+        new = joined.join(self.labels.select("node"), "node", "left_anti")  # had no link before
+        self.labels = common.materialize(old.unionByName(new), "labels")
+
+    def of(self, members: DataFrame) -> DataFrame:
+        """``members`` (with ``node``) and ``lab``, a 64-bit number of the class."""
+        if self.labels is None:
+            return members.withColumn("lab", F.xxhash64("node"))
+        return members.join(self.labels, "node", "left").withColumn("lab", F.xxhash64(F.coalesce("label", "node"))).drop("label")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The keys whose members are of several classes."""
+    return rows.groupBy("key").agg(F.min("lab").alias("low"), F.max("lab").alias("high")).filter("low <> high").select("key")
+
+
+def _rounds(members: DataFrame, classes: _Classes, rounds: int) -> DataFrame:
+    """Compares members of keys; returns ``key, turn, node, lab`` of those in keys still open."""
+    least = members.groupBy("key").agg(F.min("turn").alias("hub"))
+    met = members.join(least, "key").groupBy("turn").agg(F.min("hub").alias("hub")).filter("hub <> turn")
+    classes.compare(met)
+    members = members.join(classes.texts.select("turn", "node"), "turn")
+    for last in [False] * rounds + [True]:
+        rows = classes.of(members.select("key", "turn", "node"))
+        rows = common.materialize(rows.join(_open(rows), "key"), "open")
+        if last or not rows.take(1):
+            return rows
+        groups = rows.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("turn"))
+        hubs = groups.groupBy("key").agg(F.min(F.struct("n", "turn", "lab")).alias("hub")).select("key", F.col("hub.turn").alias("hub"), F.col("hub.lab").alias("hub_lab"))
+        rows = rows.join(hubs, "key")
+        classes.compare(rows.filter("lab <> hub_lab").select(F.least("turn", "hub").alias("turn"), F.greatest("turn", "hub").alias("hub")).distinct())
+        members = rows.filter("turn <> hub")
 
 
 def _tokens(batch, hasher):
@@ -251,45 +332,35 @@ def _rarest(counts, threshold: float):
     return scan
 
 
-def _rest(left: DataFrame, texts: DataFrame, links: DataFrame | None, labels: DataFrame | None, threshold: float):
-    """``links`` with all those between members that a key of ``left`` holds, and their components.
+def _rest(left: DataFrame, classes: _Classes) -> None:
+    """Finds all links between members of different classes that a key of ``left`` holds.
 
     Linked texts of at most ``n`` words share all but ``k = (1 - threshold) n`` of them, so by any one order of
     the words a shared one is among the first ``k + 1`` of each; the order is by how rare words are here.
     """
-    spark = left.sparkSession
-    own = common.materialize(texts.join(left.select("node").distinct(), "node").select("node", "text"), "left_texts")
-    counted = own.mapInArrow(_word_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    spark, threshold = left.sparkSession, classes.threshold
+    own = common.materialize(classes.texts.join(left.select("node").distinct(), "node").select("node", "text", "n_words", "bits"), "left_texts")
+    counted = own.select("node", "text").mapInArrow(_word_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(_RANKS, np.int64)
     counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    counts = spark.sparkContext.broadcast(counts)
-    rare = own.mapInArrow(_rarest(counts, threshold), "node binary, token long")
-    rows = _labelled(left.select("key", "node", "n_words"), labels).join(rare, "node")
-    rows = common.materialize(rows.select(F.xxhash64("key", "token").alias("key"), "node", "n_words", "label"), "rare")
-    unlike = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("key")
-    rows = common.materialize(rows.join(unlike, "key"), "rare_open")
-    a, b = (rows.select("key", F.col("node").alias(x), F.col("n_words").alias(f"n_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
-    pairs = pairs.filter(F.least("n_a", "n_b") >= F.floor(F.greatest("n_a", "n_b") * (threshold - 1e-9)))
-    found = _compared(pairs.select("a", "b").distinct(), own, threshold)
-    if found.take(1):
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    return links, labels
-
-
-def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that are links."""
-    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    found = pairs.join(ta, "a").join(tb, "b").select("a", "b", "x", "y")
-    return common.materialize(found.mapInArrow(_verified(threshold), "a binary, b binary"), "found")
-
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("node"))
-    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = spark.sparkContext.broadcast(counts)  # _RANKS numbers, 2 MB
+    rare = own.select("node", "text").mapInArrow(_rarest(counts, threshold), "node binary, token long")
+    # a node's open keys mostly have the same few least members: texts that share a key share its least member
+    least = left.groupBy("key").agg(F.min("turn").alias("least"))
+    left = common.materialize(left.join(least, "key").select(F.col("least").alias("key"), "node", "lab").distinct(), "left")
+    groups = left.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("n", "lab")).alias("largest")).select("key", F.col("largest.lab").alias("major"))
+    rows = left.join(largest, "key").select("key", "node", "lab", (F.col("lab") != F.col("major")).alias("minor"))
+    rows = rows.join(rare, "node").select(F.xxhash64("key", "token").alias("key"), "node", "lab", "minor")
+    rows = common.materialize(rows, "rare")
+    folded = [reduce(Column.bitwiseXOR, [F.col("bits")[k] for k in range(i, _BITS // 64, _FOLDED // 64)]) for i in range(_FOLDED // 64)]
+    rows = rows.join(_open(rows), "key").join(own.select("node", "n_words", F.array(*folded).alias("bits")), "node")
+    rows = common.materialize(rows, "rare_open")
+    a, b = (rows.select("key", F.col("node").alias(x), F.col("lab").alias(f"lab_{x}"), F.col("minor").alias(f"minor_{x}"), F.col("n_words").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    other = (F.col("lab_a") != F.col("lab_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
+    a = a.filter("minor_a").withColumnRenamed("key", "key_a").hint("merge")
+    pairs = a.join(b, (F.col("key_a") == F.col("key")) & other & _may_link("a", "b", threshold, _FOLDED))
+    classes.add(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def text_node(text: str) -> F.Column:
@@ -313,23 +384,24 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
     texts = common.texts_of(docs).withColumn("node", text_node("text"))
     scanned = common.materialize(
         texts.select("doc_id", "node", "text").mapInArrow(
-            _sketches, "doc_id long, node binary, n_words long, keys array<long>"
+            _sketches, "doc_id long, node binary, n_words long, keys array<long>, bits array<long>"
         ),
         "sketches",
     )
-    nodes = scanned.groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
-    every = nodes.select("node", "n_words", F.explode("keys").alias("key"))
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    every = scanned.groupBy("node").agg(F.first("keys").alias("keys")).select(F.xxhash64("node").alias("turn"), F.explode("keys").alias("key"))
+    shared = every.groupBy("key").agg(F.min("turn").alias("low"), F.max("turn").alias("high")).filter("low < high").select("key")
     members = common.materialize(every.join(shared, "key"), "members")
-    held = members.select("node").distinct()
-    by_node = scanned.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("who"))
-    by_node = held.join(by_node, "node").select(row_key("who.doc_id", "node").alias("row_key"))
+    held = members.select("turn").distinct()
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_words", "bits"))
+    by_node = held.join(scanned.groupBy("node").agg(who.alias("who")).withColumn("turn", F.xxhash64("node")), "turn")
+    by_node = by_node.select(row_key("who.doc_id", "node").alias("row_key"), "turn", "who.n_words", "who.bits")
     own = texts.select("node", "text", row_key("doc_id", "node").alias("row_key")).join(by_node, "row_key")
-    node_texts = common.materialize(own.select("node", "text").dropDuplicates(["node"]), "node_texts")
-    links, labels, left = _rounds(members, node_texts, None, None, threshold, rounds)
+    classes = _Classes(common.materialize(own.drop("row_key").dropDuplicates(["node"]), "node_texts"), threshold)
+    left = _rounds(members, classes, rounds)
     if left.take(1):
         # keys that many unlike texts share
-        links, labels = _rest(left, node_texts, links, labels, threshold)
+        _rest(left, classes)
+    links, labels = classes.links, classes.labels
     if links is None:
         links = spark.createDataFrame([], "a binary, b binary")
         labels = spark.createDataFrame([], "node binary, label binary")
