@@ -4,7 +4,7 @@ A word is the average of the vectors of its character n-grams (3 to 5, between w
 marks, hashed into buckets) and of itself; a passage of ``PASSAGE`` words is the
 average of its words; a linear softmax over the passage gives its probability. A
 document's score is that of its most toxic passage, so one insult in a long text is
-not thinned out. Vectors and softmax are trained jointly in numpy (Adagrad) on the
+not thinned out. Vectors and softmax are trained jointly in numpy (Adagrad, generalised cross-entropy) on the
 document's label through that passage (in the first two rounds through the one with the
 word of greatest odds). Unseen misspellings share n-gram vectors.
 
@@ -32,7 +32,13 @@ from lathework.llm import common
 from lathework.llm.kernels import SpanHash, mix
 
 #: Buckets are numbered in 16 bits.
-BUCKETS, DIM, PASSAGE, EPOCHS = 1 << 16, 8, 24, 10
+BUCKETS, DIM, PASSAGE, EPOCHS, MOST_EPOCHS = 1 << 16, 8, 24, 10, 60
+#: Documents in which a subword must stand to be learnt, and the pull of vectors to zero.
+LEAST, DECAY = 3, 2e-4
+#: Squares that a bucket's steps start from: a rare subword moves little.
+DAMPING = 1e-4
+#: The power by which a document's own probability weighs it (generalised cross-entropy).
+TRUST = 0.7
 #: At most so many labelled documents of label 0 and of label 1 are learnt from.
 SAMPLE = (6000, 2500)
 WORD = re.compile(r"[^\W\d_]+")
@@ -102,12 +108,25 @@ def _odds(docs: list[np.ndarray], y: np.ndarray, n_words: int) -> np.ndarray:
     return np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / (len(y) - y.sum() + 1))
 
 
-def train(texts: list[str], labels: list[int], epochs: int | None = None, seed: int = 11) -> Model:
-    """Joint training; each step follows the top passage of 64 documents."""
+def _carried(docs: list[np.ndarray], flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Which buckets stand in ``least`` documents or more; the others, a document's own, keep a vector of zeros."""
+    n = np.zeros(BUCKETS, np.int64)
+    for d in docs:
+        own = np.unique(d)
+        at = np.arange(int(sizes[own].sum())) + np.repeat(begin[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own])
+        n[np.unique(flat[at])] += 1
+    return n >= least
+
+
+def train(texts: list[str], labels: list[int], epochs: int | None = None, seed: int = 11, least: int = LEAST, decay: float = DECAY) -> Model:
+    """Joint training; each step follows the top passage of 64 documents.
+
+    Only subwords of ``least`` documents or more are learnt, so a document's own words can't explain its label.
+    """
     rng = np.random.default_rng(seed)
-    epochs = epochs or min(60, max(EPOCHS, 60_000 // max(1, len(texts))))  # few texts are seen more often
-    vectors = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
-    weight = ((rng.random(DIM) - 0.5) / DIM).astype(np.float32)
+    epochs = epochs or min(MOST_EPOCHS, max(EPOCHS, 60_000 // max(1, len(texts))))  # few texts are seen more often
+    vectors = np.zeros((BUCKETS, DIM), np.float32)  # a subword that is never learnt adds nothing
+    weight = (rng.random(DIM) - 0.5).astype(np.float32)
     bias = 0.0
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
@@ -117,8 +136,9 @@ def train(texts: list[str], labels: list[int], epochs: int | None = None, seed:
     y = np.array(labels, np.float32)
     share = max(1e-3, float(y.mean()))
     gains = np.where(y == 1, (0.5 / share) ** 0.5, (0.5 / max(1e-3, 1 - share)) ** 0.5).astype(np.float32)
-    sq_v, sq_w, sq_b = np.full((BUCKETS, DIM), 1e-6, np.float32), np.full(DIM, 1e-6, np.float32), 1e-6
+    sq_v, sq_w, sq_b = np.full((BUCKETS, DIM), DAMPING, np.float32), np.full(DIM, 1e-6, np.float32), 1e-6
     usable = np.array([i for i, d in enumerate(docs) if len(d)], np.int64)
+    carried = _carried(docs, flat, begin, sizes, least)
     odds = _odds(docs, y, len(sizes))
     for epoch in range(epochs):
         # the pull of every word: at first its odds, then by the vectors as they stand
@@ -149,10 +169,12 @@ def train(texts: list[str], labels: list[int], epochs: int | None = None, seed:
             hidden = np.add.reduceat(vectors[ids] * scale[:, None], of_doc, axis=0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ weight + bias, -50, 50)))
             error = (p - y[batch]) * gains[batch]
+            if not warm:  # a document far from its label counts less: some labels are wrong
+                error *= np.where(y[batch] == 1, p, 1 - p) ** TRUST
             g_w, g_b = error @ hidden, float(error.sum())
             used, place = np.unique(ids, return_inverse=True)
             pulled = np.bincount(place, weights=scale * error[owner], minlength=len(used)).astype(np.float32)
-            g_v = pulled[:, None] * weight[None, :]
+            g_v = (pulled[:, None] * weight[None, :] + decay * vectors[used]) * carried[used, None]
             sq_v[used] += g_v * g_v
             vectors[used] -= 0.5 * g_v / np.sqrt(sq_v[used])
             sq_w += g_w * g_w
