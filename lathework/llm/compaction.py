@@ -5,13 +5,15 @@ tier (sizes within a factor of ``fanout``) are merged, run by run, into files of
 ``target_bytes``; a run is merged when it has at least ``fanout`` shards or fills a
 target file. Each change of the set of shards is a new manifest version: it is written beside its
 final name and renamed to it, which fails if that version exists, so of two
-writers one wins and readers see either version whole. Files that no
-version within ``keep_versions`` names are removed after the commit.
+writers one wins and readers see either version whole. A writer that loses commits its files again
+on top of the winner's version, unless that merged the same shards. ``vacuum`` removes files that an expired version names and none of
+the last ``keep_versions`` does, once the version that dropped them is ``grace_ms`` old, and those
+manifests after them; files that no manifest names belong to a writer under way and stay.
 
 The data path is DataFrame reads and writes only. The driver handles the manifest: one
-line for each shard, so a few hundred thousand lines at 100 TB. Rows of one merge go to
-one task, whose size ``target_bytes`` bounds; no key of the data decides where a row goes, so
-no source or copy can make one task large.
+line for each shard, so a few hundred thousand lines at 100 TB. Each merge has a partition of
+its own, and shards of a run hold at most ``target_bytes`` together, which bounds a task; no key
+of the data decides where a row goes, so no source or copy can make one task large.
 
 Defined cases: nulls in any column, long texts, ties and repeated rows pass through
 unchanged; an empty arrival makes no shard; extra columns are kept as they are.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +48,9 @@ class Conflict(RuntimeError):
 
 class ShardStore:
     def __init__(
-        self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fanout: int = 4, keep_versions: int = 1
+        self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fanout: int = 4, keep_versions: int = 2, grace_ms: int = 0
     ):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.grace_ms = spark, path.rstrip("/"), grace_ms
         self.target_bytes, self.fanout, self.keep_versions = target_bytes, fanout, keep_versions
         self._jvm = spark.sparkContext._jvm
         self._fs = self._p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -66,12 +69,15 @@ class ShardStore:
         names = (p.rsplit("/", 1)[1] for p, _, _ in self._list(f"{self.path}/manifest"))
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
+    def _manifest_path(self, version: int) -> str:
+        return f"{self.path}/manifest/v{version:012d}.json"
+
     def manifest(self, version: int | None = None) -> dict:
         """The given or latest version: ``version``, ``schema`` and ``shards`` (file, bytes, level, run)."""
         found = self.versions()
         if not found:
             return {"version": 0, "schema": None, "shards": []}
-        stream = self._fs.open(self._p(f"{self.path}/manifest/v{version or found[-1]:012d}.json"))
+        stream = self._fs.open(self._p(self._manifest_path(version or found[-1])))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
@@ -81,7 +87,7 @@ class ShardStore:
         after = {"version": before["version"] + 1, "schema": schema, "shards": shards}
         folder = f"{self.path}/manifest"
         self._fs.mkdirs(self._p(folder))
-        draft, final = self._p(f"{folder}/draft-{uuid.uuid4().hex}"), self._p(f"{folder}/v{after['version']:012d}.json")
+        draft, final = self._p(f"{folder}/draft-{uuid.uuid4().hex}"), self._p(self._manifest_path(after["version"]))
         stream = self._fs.create(draft)
         stream.write(bytearray(json.dumps(after).encode()))
         stream.close()
@@ -103,15 +109,19 @@ class ShardStore:
         return found
 
     def append(self, arrival: DataFrame, rows_per_shard: int = 2000) -> dict:
-        """Writes the arrival's partitions as small shards and commits them."""
-        before = self.manifest()
+        """Writes the arrival's partitions as small shards and commits them, on top of whatever others commit meanwhile."""
         folder = f"{self.path}/data/a{uuid.uuid4().hex}"
         nested = arrival.select(F.struct("*").alias("row"))  # one column, so no name of the data can clash
         nested.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard).parquet(folder)
         filled = self._written(folder, 0)
         counts = self._rows(folder, filled, nested)
         new = [s | {"rows": counts[_name(s["file"])]} for s in filled if _name(s["file"]) in counts]
-        return self.commit(before, before["shards"] + new, before["schema"] or arrival.schema.json())
+        while True:
+            before = self.manifest()
+            try:
+                return self.commit(before, before["shards"] + new, before["schema"] or arrival.schema.json())
+            except Conflict:  # another version came first; shards only add up
+                continue
 
     def _rows(self, folder: str, shards: list[dict], like: DataFrame) -> dict[str, int]:
         if not shards:
@@ -160,17 +170,24 @@ class ShardStore:
         (
             packed.join(F.broadcast(of), "shard_name")
             .select("merge_run", "row")
-            .repartition(len(merges), "merge_run")
-            .select("merge_run", "row")
+            .repartitionById(len(merges), F.col("merge_run"))  # a partition a run
             .write.option("compression", "zstd")
             .partitionBy("merge_run")
             .parquet(folder)
         )
         merged = self._merged(folder, merges)
         gone = {s["file"] for run in merges for s in run}
-        self.commit(before, [s for s in before["shards"] if s["file"] not in gone] + merged, before["schema"])
-        self.vacuum()
-        return True
+        while True:
+            latest = self.manifest()
+            if not gone <= {s["file"] for s in latest["shards"]}:  # another writer merged some of them
+                self._fs.delete(self._p(folder), True)
+                raise Conflict(f"shards of version {before['version']} were merged by another writer")
+            try:
+                self.commit(latest, [s for s in latest["shards"] if s["file"] not in gone] + merged, before["schema"])
+            except Conflict:
+                continue
+            self.vacuum()
+            return True
 
     def _merged(self, folder: str, merges: list[list[dict]]) -> list[dict]:
         found = []
@@ -180,16 +197,19 @@ class ShardStore:
         return found
 
     def vacuum(self) -> None:
-        """Removes data files that none of the last ``keep_versions`` versions names."""
-        kept = self.versions()[-self.keep_versions :]
+        """Removes the files of expired versions that no kept version names, then the expired manifests."""
+        found = self.versions()
+        expired, kept = found[: -self.keep_versions], found[-self.keep_versions :]
+        newest = {v: self._fs.getFileStatus(self._p(self._manifest_path(v))).getModificationTime() for v in found}
+        now = int(time.time() * 1000)
         named = {s["file"] for v in kept for s in self.manifest(v)["shards"]}
-        for folder, _, is_dir in self._list(f"{self.path}/data"):
-            own = self._written(folder, 0) if is_dir else []
-            for s in own:
+        for v, after in zip(expired, found[1:]):
+            if newest[after] + self.grace_ms > now:  # a reader of it may still be under way
+                break
+            for s in self.manifest(v)["shards"]:
                 if s["file"] not in named:
                     self._fs.delete(self._p(s["file"]), False)
-            if not any(s["file"] in named for s in own):
-                self._fs.delete(self._p(folder), True)
+            self._fs.delete(self._p(self._manifest_path(v)), False)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with ``shard`` (its number in the manifest), ``level`` and ``version``."""

@@ -244,3 +244,45 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, folder)
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in kept[5].collect())
     assert packing.tokenizer_path().endswith(".json")
+
+
+def test_two_writers_and_a_reader(spark, tmp_path):
+    one, two = (compaction.ShardStore(spark, str(tmp_path / "store"), target_bytes=1 << 20, fanout=2) for _ in range(2))
+    rows = [(i, f"text {i}", "en", "s", 6) for i in range(8)]
+    arrival = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    one.append(arrival, 2)
+    reader, held = one.read(), contents(one)
+    # while a merge is under way another writer has written an arrival, and commits it before the merge
+    merged, state = one._merged, {}
+
+    def interrupted(folder, merges):
+        foreign = f"{one.path}/data/awriting"
+        arrival.select(F.struct("*").alias("row")).write.parquet(foreign)
+        two.append(arrival, 2)
+        state["foreign"] = foreign
+        return merged(folder, merges)
+
+    one._merged = interrupted
+    assert one.compact()
+    assert contents(one) == sorted(held * 2, key=str)  # neither writer's rows are lost
+    assert sorted((tuple(r.row) for r in reader.collect()), key=str) == held  # the version before is still whole
+    assert spark.read.parquet(state["foreign"]).count() == len(rows)  # no file of a writer under way is removed
+    one._merged = merged
+    # two merges of the same shards: the second is refused and leaves nothing behind
+    plan, folders = two.plan, lambda: sorted(p for p, _, _ in one._list(f"{one.path}/data"))
+    two.plan = lambda shards: (runs := plan(shards), one.compact())[0]
+    with pytest.raises(compaction.Conflict):
+        two.compact()
+    assert contents(two) == sorted(held * 2, key=str)
+    assert {s["file"].rsplit("/", 2)[0] for s in two.manifest()["shards"]} and len(folders()) >= 2
+
+
+def test_vacuum_keeps_versions_and_waits(spark, tmp_path):
+    store = compaction.ShardStore(spark, str(tmp_path / "store"), target_bytes=1 << 20, fanout=2, keep_versions=1, grace_ms=10**9)
+    arrival = docs_of(spark, [(i, "t") for i in range(4)]).coalesce(1)
+    store.append(arrival, 1)
+    store.compact()
+    assert store.versions() == [1, 2] and contents(store, 1) == contents(store)
+    store.grace_ms = -(10**6)
+    store.vacuum()
+    assert store.versions() == [2] and len(contents(store)) == 4
