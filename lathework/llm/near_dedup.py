@@ -14,14 +14,13 @@ Scale: the texts are scanned once for keys; equal texts are folded by a pre-aggr
 group-by, so thousands of copies cost no pair. Keys travel with a 64-bit number of the node only
 (two nodes of one number are both compared). Within a key, pairs are never listed. First each
 node meets one text: the least by hash in any of its keys, so a large group becomes a star in one
-step. Then, in rounds, each key whose members are of several classes compares all of them with one
-of its smallest class, which leaves the key. What is left in keys still open after ``ROUNDS``
+step. Then, in rounds, each node outside the largest class of a key that is still of several classes
+meets one text of such a class, in the smallest of its keys. What is left in keys still open after ``ROUNDS``
 is compared exactly: two texts that may be linked share one of the rarest words of each (prefix
-filter), so no pair of a key is left out. There the members outside a key's largest class meet
-the others in an equi-join on the key's least member and a rare word, whose condition drops pairs that differ
-in too many words by a parity of their words in 256 buckets, then in 1,024; what passes is listed, so the number of
-pairs follows how many alike texts of different classes share their rarest words. Only pairs
-that pass the parity and the lengths move texts. Classes are contracted: each round joins
+filter), so no pair of a key is left out. There the texts outside a word's largest class meet
+the others in an equi-join on the word, whose condition drops pairs that differ in too many words
+by a parity of their words in 1,024 buckets; what passes is listed, so the number of pairs
+follows how many alike texts of different classes share their rarest words. Classes are contracted: each round joins
 classes, not all links from the start.
 
 Defined cases: null and empty texts are equal to each other; a text below five words
@@ -32,22 +31,21 @@ members of the same class; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathework.llm import common
 from lathework.llm.kernels import SpanHash, gram_hashes, mix, scan_words
 
-SHINGLE, MINIMA, SIMILARITY, ROUNDS = 5, 128, 0.8, 3
+SHINGLE, MINIMA, SIMILARITY, ROUNDS = 5, 128, 0.8, 1
 _BLOCK = 1 << 12
 #: Buckets in which the words of the texts left are counted; they bound what the driver sees.
 _RANKS = 1 << 18
-#: Bits of a text's parity, in longs, and of its folded form.
-_BITS, _FOLDED = 1024, 256
+#: Bits of a text's parity, in longs.
+_BITS = 1024
 
 
 def occurrence_numbered(grams: np.ndarray) -> np.ndarray:
@@ -215,12 +213,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _may_link(left: str, right: str, threshold: float, bits: int = _BITS) -> F.Column:
+def _may_link(left: str, right: str, threshold: float) -> F.Column:
     """Whether lengths and parities of two texts allow a link: ``e`` edits change at most ``2 e`` less the lengths' difference words."""
     n, m = F.col(f"n_{left}"), F.col(f"n_{right}")
     edits = F.floor(F.greatest(n, m) * F.lit(1 - threshold) + F.lit(1e-6))
     one = lambda i: F.bit_count(F.col(f"bits_{left}")[i].bitwiseXOR(F.col(f"bits_{right}")[i]))
-    apart = sum((one(i) for i in range(1, bits // 64)), one(0))
+    apart = sum((one(i) for i in range(1, _BITS // 64)), one(0))
     return (F.abs(n - m) <= edits) & (apart <= 2 * edits - F.abs(n - m))
 
 
@@ -278,10 +276,9 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _rounds(members: DataFrame, classes: _Classes, rounds: int) -> DataFrame:
-    """Compares members of keys; returns ``key, turn, node, lab`` of those in keys still open."""
+    """Compares each node with one other a round; returns ``key, turn, node, lab`` of those in keys still open."""
     least = members.groupBy("key").agg(F.min("turn").alias("hub"))
-    met = members.join(least, "key").groupBy("turn").agg(F.min("hub").alias("hub")).filter("hub <> turn")
-    classes.compare(met)
+    classes.compare(members.join(least, "key").groupBy("turn").agg(F.min("hub").alias("hub")).filter("hub <> turn"))
     members = members.join(classes.texts.select("turn", "node"), "turn")
     for last in [False] * rounds + [True]:
         rows = classes.of(members.select("key", "turn", "node"))
@@ -289,10 +286,12 @@ def _rounds(members: DataFrame, classes: _Classes, rounds: int) -> DataFrame:
         if last or not rows.take(1):
             return rows
         groups = rows.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("turn"))
-        hubs = groups.groupBy("key").agg(F.min(F.struct("n", "turn", "lab")).alias("hub")).select("key", F.col("hub.turn").alias("hub"), F.col("hub.lab").alias("hub_lab"))
-        rows = rows.join(hubs, "key")
-        classes.compare(rows.filter("lab <> hub_lab").select(F.least("turn", "hub").alias("turn"), F.greatest("turn", "hub").alias("hub")).distinct())
-        members = rows.filter("turn <> hub")
+        major = groups.groupBy("key").agg(F.max(F.struct("n", "turn", "lab")).alias("major"), F.sum("n").alias("size"))
+        # of the texts that its keys offer a node meets the one of its smallest key
+        met = rows.join(major, "key").filter("lab <> major.lab").groupBy("turn").agg(F.min(F.struct("size", "major.turn")).alias("met"))
+        met = met.select("turn", F.col("met.turn").alias("hub"))
+        classes.compare(met)
+        members = rows
 
 
 def _tokens(batch, hasher):
@@ -333,7 +332,7 @@ def _rarest(counts, threshold: float):
 
 
 def _rest(left: DataFrame, classes: _Classes) -> None:
-    """Finds all links between members of different classes that a key of ``left`` holds.
+    """Finds all links between texts of different classes among those that a key of ``left`` holds.
 
     Linked texts of at most ``n`` words share all but ``k = (1 - threshold) n`` of them, so by any one order of
     the words a shared one is among the first ``k + 1`` of each; the order is by how rare words are here.
@@ -345,21 +344,18 @@ def _rest(left: DataFrame, classes: _Classes) -> None:
     counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     counts = spark.sparkContext.broadcast(counts)  # _RANKS numbers, 2 MB
     rare = own.select("node", "text").mapInArrow(_rarest(counts, threshold), "node binary, token long")
-    # a node's open keys mostly have the same few least members: texts that share a key share its least member
-    least = left.groupBy("key").agg(F.min("turn").alias("least"))
-    left = common.materialize(left.join(least, "key").select(F.col("least").alias("key"), "node", "lab").distinct(), "left")
-    groups = left.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"))
+    nodes = left.select("node", "lab").distinct()
+    rows = nodes.join(rare, "node").select(F.col("token").alias("key"), "node", "lab")
+    rows = common.materialize(rows.join(_open(rows), "key"), "rare")
+    # a word's largest class is not compared with itself
+    groups = rows.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"))
     largest = groups.groupBy("key").agg(F.max(F.struct("n", "lab")).alias("largest")).select("key", F.col("largest.lab").alias("major"))
-    rows = left.join(largest, "key").select("key", "node", "lab", (F.col("lab") != F.col("major")).alias("minor"))
-    rows = rows.join(rare, "node").select(F.xxhash64("key", "token").alias("key"), "node", "lab", "minor")
-    rows = common.materialize(rows, "rare")
-    folded = [reduce(Column.bitwiseXOR, [F.col("bits")[k] for k in range(i, _BITS // 64, _FOLDED // 64)]) for i in range(_FOLDED // 64)]
-    rows = rows.join(_open(rows), "key").join(own.select("node", "n_words", F.array(*folded).alias("bits")), "node")
-    rows = common.materialize(rows, "rare_open")
+    rows = rows.join(largest, "key").join(own.select("node", "n_words", "bits"), "node")
+    rows = rows.select("key", "node", "lab", (F.col("lab") != F.col("major")).alias("minor"), "n_words", "bits")
     a, b = (rows.select("key", F.col("node").alias(x), F.col("lab").alias(f"lab_{x}"), F.col("minor").alias(f"minor_{x}"), F.col("n_words").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     other = (F.col("lab_a") != F.col("lab_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
     a = a.filter("minor_a").withColumnRenamed("key", "key_a").hint("merge")
-    pairs = a.join(b, (F.col("key_a") == F.col("key")) & other & _may_link("a", "b", threshold, _FOLDED))
+    pairs = a.join(b, (F.col("key_a") == F.col("key")) & other & _may_link("a", "b", threshold))
     classes.add(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
