@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lathework.plans import audit, detection, timeline
+from lathework.plans import audit, detection, records, timeline
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (audit, timeline, detection):
+for _module in (audit, timeline, detection, records):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

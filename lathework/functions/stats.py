@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of a summary, in order.
@@ -88,3 +88,16 @@ def gate(value: Column, limit: Column, direction: Column) -> Column:
 def envelope(candidate: Column, low: Column, high: Column, higher_is_better: Column) -> Column:
     """Whether the candidate is within the baselines' range on its bad side."""
     return F.when(higher_is_better, candidate >= low - 1e-12).otherwise(candidate <= high)
+
+
+def all_equal(x: Column) -> Column:
+    """Whether all values are the same; nulls don't count, and no value is equal."""
+    return F.coalesce(F.min(x) == F.max(x), F.lit(True))
+
+
+def per_frame(df: DataFrame, keys: list[str], frame: str, value: str, frames: int) -> DataFrame:
+    """Totals of each group, its number of frames, and its totals and calls for each of ``frames`` frames of the run."""
+    by_frame = df.groupBy(*keys, frame).agg(F.sum(value).alias("q"), F.count(F.lit(1)).alias("n"))
+    return by_frame.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("frames"), F.sum("q").alias("total"), (F.sum("q") / float(frames)).alias("per_frame"), (F.sum("n") / float(frames)).alias("calls_per_frame")
+    )

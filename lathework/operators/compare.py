@@ -75,3 +75,38 @@ def rewired(edges: DataFrame, removed: DataFrame) -> DataFrame:
     into = edges.join(gone, F.col("target") == F.col("gone")).select("source", "gone")
     out = edges.join(gone, F.col("source") == F.col("gone")).select(F.col("gone").alias("gone2"), "target")
     return kept.select("source", "target").union(into.join(out, F.col("gone") == F.col("gone2")).select("source", "target"))
+
+
+def variant_pairs(df: DataFrame, variant: str, keys: list[str], value: str) -> DataFrame:
+    """Signed and absolute differences of every two variants (a few) that share a key."""
+    other = df.select(*keys, F.col(variant).alias("against"), F.col(value).alias("_other"))
+    found = df.select(*keys, variant, value).join(other, keys).filter(F.col(variant) < F.col("against"))
+    return found.select(*keys, variant, "against", (F.col(value) - F.col("_other")).alias("difference"), F.abs(F.col(value) - F.col("_other")).alias("distance"))
+
+
+def union_of_keys(sides: list[DataFrame]) -> DataFrame:
+    """The distinct keys of all sides, each side reduced before the union."""
+    every = sides[0].distinct()
+    for side in sides[1:]:
+        every = every.union(side.distinct())
+    return every.distinct()
+
+
+def disjunctive_pairs(df: DataFrame, key: str, block: str, value: str, near: int, others: list[tuple[Column, int]]) -> DataFrame:
+    """Pairs (a < b) of one block that hold any of several conditions, each an equi-join of its own.
+
+    ``value`` within ``near``: steps of ``near + 1`` meet their own and the next step. ``others``: an equal
+    expression and values within a distance.
+    """
+    rules = [(F.lit(0), near), *others]
+    found = None
+    for same, distance in rules:
+        rows = df.select(F.col(key).alias("id"), F.col(block).alias("block"), F.col(value).alias("v"), same.cast("long").alias("same"))
+        step = F.floor(F.col("v") / (distance + 1))
+        left = rows.withColumn("step", step)
+        right = rows.select(F.col("id").alias("id2"), F.col("block").alias("block2"), F.col("v").alias("v2"), F.col("same").alias("same2"), F.explode(F.array(step - 1, step, step + 1)).alias("step2"))
+        on = (F.col("block") == F.col("block2")) & (F.col("same") == F.col("same2")) & (F.col("step") == F.col("step2"))
+        pairs = left.join(right, on).filter((F.col("id") < F.col("id2")) & (F.abs(F.col("v") - F.col("v2")) <= distance))
+        pairs = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.abs(F.col("v") - F.col("v2")).alias("apart"))
+        found = pairs if found is None else found.union(pairs)
+    return found.distinct()

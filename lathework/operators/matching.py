@@ -7,9 +7,11 @@ group must fit a task, as detections of an image do. Grouping keys spread the gr
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lathework.functions import geometry
 
@@ -143,30 +145,58 @@ def best_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> list[tuple[int
     if not len(a) or not len(b):
         return []
     overlap = overlap_matrix(a, b)
+    if min(len(a), len(b)) == 1:  # one box on a side takes its best partner
+        i, j = np.unravel_index(overlap.argmax(), overlap.shape)
+        return [(int(i), int(j), float(overlap[i, j]))] if overlap[i, j] >= threshold else []
     size = max(len(a), len(b))
     cost = np.zeros((size, size))
     cost[: len(a), : len(b)] = np.where(overlap >= threshold, -(1000.0 + overlap), 0.0)
     return [(i, int(j), float(overlap[i, j])) for i, j in enumerate(assign(cost)[: len(a)]) if j < len(b) and overlap[i, j] >= threshold]
 
 
+def _paired(threshold: float):
+    """Pairs and leftovers of many groups, a row each, whose sides are lists of (index, corners)."""
+
+    def scan(batches):
+        for batch in batches:
+            number, out = [], ([], [], [])
+            sides = [_flat(batch.column(k)) for k in (1, 2)]
+            for g in range(batch.num_rows):
+                (x, a), (y, b) = ((index[lo:hi], boxes[lo:hi]) for index, boxes, ends in sides for lo, hi in [ends[g : g + 2]])
+                found = best_pairs(a, b, threshold)
+                used_a, used_b = {i for i, _, _ in found}, {j for _, j, _ in found}
+                rows = [(int(x[i]), int(y[j]), o) for i, j, o in found]
+                rows += [(int(x[i]), None, None) for i in range(len(x)) if i not in used_a]
+                rows += [(None, int(y[j]), None) for j in range(len(y)) if j not in used_b]
+                number += [g] * len(rows)
+                for column, values in zip(out, zip(*rows)):
+                    column.extend(values)
+            columns = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(number, pa.int64())), *columns], ["group", "left_index", "right_index", "overlap"]
+            )
+
+    return scan
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All indexes and corners of a list column, and where each row's begin."""
+    rows = column.flatten()
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    corners = np.column_stack([np.asarray(rows.field(c).cast(pa.float64())) for c in _CORNERS]) if len(rows) else np.empty((0, 4))
+    return np.asarray(rows.field("index").cast(pa.int64())), corners, np.concatenate([[0], np.cumsum(sizes)])
+
+
 def optimal_match(left: DataFrame, right: DataFrame, keys: list[str], index: str, threshold: float) -> DataFrame:
-    """Optimal one-to-one pairs of each group, and both sides' leftovers with nulls."""
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = [*keys, index, *_CORNERS]  # a side without rows has no columns
-        a, b = (x.sort_values(index, kind="stable") if index in x.columns and len(x) else pd.DataFrame(columns=columns) for x in (a, b))
-        head = (a if len(a) else b)[keys].iloc[0].tolist()
-        found = best_pairs(a[list(_CORNERS)].to_numpy(float), b[list(_CORNERS)].to_numpy(float), threshold)
-        used_a, used_b = {i for i, _, _ in found}, {j for _, j, _ in found}
-        x, y = a[index].tolist(), b[index].tolist()
-        rows = [(*head, x[i], y[j], o) for i, j, o in found]
-        rows += [(*head, x[i], None, None) for i in range(len(x)) if i not in used_a]
-        rows += [(*head, None, y[j], None) for j in range(len(y)) if j not in used_b]
-        out = pd.DataFrame(rows, columns=[*keys, "left_index", "right_index", "overlap"])
-        return out.astype({"left_index": "Int64", "right_index": "Int64", "overlap": "float64"})
-
-    schema = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
-    narrow = lambda df: df.select(*keys, index, *_CORNERS)
-    return narrow(left).groupBy(*keys).cogroup(narrow(right).groupBy(*keys)).applyInPandas(
-        pair, f"{schema}, left_index long, right_index long, overlap double"
-    )
+    """Optimal one-to-one pairs of each group, and both sides' leftovers with nulls.
+
+    The most pairs that overlap by ``threshold`` or more, of these the greatest total overlap. Each
+    group's boxes are collected in order of their index, and whole batches of groups are solved at a time.
+    """
+    box = F.struct(F.col(index).cast("long").alias("index"), *[F.col(c).cast("double").alias(c) for c in _CORNERS])
+    tagged = left.select(*keys, box.alias("box"), F.lit(True).alias("first")).union(right.select(*keys, box.alias("box"), F.lit(False).alias("first")))
+    side = lambda which: F.sort_array(F.collect_list(F.when(F.col("first") == which, F.col("box"))))
+    groups = tagged.groupBy(*keys).agg(side(True).alias("a"), side(False).alias("b"))
+    rows = groups.select(F.struct(*keys).alias("group"), "a", "b")
+    schema = StructType().add("group", rows.schema["group"].dataType).add("left_index", "long").add("right_index", "long").add("overlap", "double")
+    return rows.mapInArrow(_paired(threshold), schema).select("group.*", "left_index", "right_index", "overlap")
