@@ -15,7 +15,7 @@ group-by, so thousands of copies cost no pair. Keys travel with a 64-bit number
 (two nodes of one number are both compared). Within a key, pairs are never listed. First each
 node meets one text: the least by hash in any of its keys, so a large group becomes a star in one
 step. Then, in rounds, each node outside the largest class of a key that is still of several classes
-meets one text of such a class, in the smallest of its keys. What is left in keys still open after ``ROUNDS``
+meets a text of each such class, in the ``HUBS`` smallest of its keys. What is left in keys still open after ``ROUNDS``
 is compared exactly: two texts that may be linked share one of the rarest words of each (prefix
 filter), so no pair of a key is left out. There the texts outside a word's largest class meet
 the others in an equi-join on the word, whose condition drops pairs that differ in too many words
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from lathework.llm import common
 from lathework.llm.kernels import SpanHash, gram_hashes, mix, scan_words
 
-SHINGLE, MINIMA, SIMILARITY, ROUNDS = 5, 128, 0.8, 1
+SHINGLE, MINIMA, SIMILARITY, ROUNDS, HUBS = 5, 128, 0.8, 1, 4
 _BLOCK = 1 << 12
 #: Buckets in which the words of the texts left are counted; they bound what the driver sees.
 _RANKS = 1 << 18
@@ -287,9 +287,10 @@ def _rounds(members: DataFrame, classes: _Classes, rounds: int) -> DataFrame:
             return rows
         groups = rows.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("turn"))
         major = groups.groupBy("key").agg(F.max(F.struct("n", "turn", "lab")).alias("major"), F.sum("n").alias("size"))
-        # of the texts that its keys offer a node meets the one of its smallest key
-        met = rows.join(major, "key").filter("lab <> major.lab").groupBy("turn").agg(F.min(F.struct("size", "major.turn")).alias("met"))
-        met = met.select("turn", F.col("met.turn").alias("hub"))
+        # of the texts that its keys (at most MINIMA) offer a node meets those of its smallest keys
+        met = rows.join(major, "key").filter("lab <> major.lab").groupBy("turn").agg(F.collect_set(F.struct("size", F.col("major.turn").alias("hub"))).alias("met"))
+        hubs = F.slice(F.array_distinct(F.transform(F.sort_array("met"), lambda m: m["hub"])), 1, HUBS)
+        met = met.select("turn", F.explode(hubs).alias("hub"))
         classes.compare(met)
         members = rows
 
