@@ -23,8 +23,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = near_dedup.near_classes(docs).filter("kept")
     kept = kept.select(near_dedup.row_key("doc_id", "node").alias("_key")).distinct()
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), near_dedup.text_node("text").alias("_node"))
-    rows = rows.select("_row", near_dedup.row_key("_id", "_node").alias("_key")).join(kept, "_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    other = F.md5(F.to_json("_row"))  # rows of one id and text may differ in other columns: the least by value stays
+    rows = rows.select("_row", near_dedup.row_key("_id", "_node").alias("_key"), other.alias("_other")).join(kept, "_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_other"))
     return rows.withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
 
 
@@ -32,7 +33,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a window of an item go; rows of one id share the verdict."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.contaminated(docs, benchmark).select(F.col("doc_id").alias("_found_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found_id")), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))  # no column's name can clash
+    return rows.join(found, F.col("_id").eqNullSafe(F.col("_found_id")), "left_anti").select("_row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
