@@ -16,11 +16,12 @@ group-by, so thousands of copies cost no pair. Keys travel with a 64-bit number
 node meets one text: the least by hash in any of its keys, so a large group becomes a star in one
 step. Then, in rounds, each node outside the largest class of a key that is still of several classes
 meets a text of each such class, in the ``HUBS`` smallest of its keys. What is left in keys still open after ``ROUNDS``
-is compared exactly: two texts that may be linked share one of the rarest words of each (prefix
-filter), so no pair of a key is left out. There the texts outside a word's largest class meet
-the others in an equi-join on the word, whose condition drops pairs that differ in too many words
-by a parity of their words in 1,024 buckets; what passes is listed, so the number of pairs
-follows how many alike texts of different classes share their rarest words. Classes are contracted: each round joins
+is compared exactly: two texts that may be linked share one of the rarest word pairs of each (prefix
+filter), so no pair of a key is left out. There the texts outside a word pair's largest class meet
+the others in an equi-join on it, whose condition drops texts that differ in too many words
+by a parity of their words in 1,024 buckets, and those that share one of the word pairs just before this
+one in both orders, where they have met; what passes is listed about once, so the number of rows
+follows how many alike texts of different classes there are. Classes are contracted: each round joins
 classes, not all links from the start.
 
 Defined cases: null and empty texts are equal to each other; a text below five words
@@ -42,8 +43,12 @@ from lathework.llm.kernels import SpanHash, gram_hashes, mix, scan_words
 
 SHINGLE, MINIMA, SIMILARITY, ROUNDS, HUBS = 5, 128, 0.8, 1, 4
 _BLOCK = 1 << 12
-#: Buckets in which the words of the texts left are counted; they bound what the driver sees.
-_RANKS = 1 << 18
+#: Buckets in which the word pairs of the texts left are counted; they bound what the driver sees.
+_RANKS = 1 << 20
+#: Of a text's rare word pairs, how many that come before each travel with it.
+_BEFORE = 8
+#: What stands before a text's first and after its last word.
+_EDGES = np.array([0x6A09E667F3BCC908, 0xBB67AE8584CAA73B], np.uint64)
 #: Bits of a text's parity, in longs.
 _BITS = 1024
 
@@ -82,8 +87,9 @@ def band_keys(codes: np.ndarray, minima: int = MINIMA, shingle: int = SHINGLE) -
 
 
 def parity(codes: np.ndarray) -> np.ndarray:
-    """Of each of ``_BITS`` buckets of words, whether the text has an odd number; differs in no more bits than texts in words."""
-    odd = np.bincount((codes % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1
+    """Of each of ``_BITS`` buckets of words, numbered by occurrence, whether the text has an odd number; differs in no more bits than texts in words."""
+    tokens = occurrence_numbered(codes) if len(codes) else codes
+    odd = np.bincount((tokens % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -296,13 +302,13 @@ def _rounds(members: DataFrame, classes: _Classes, rounds: int) -> DataFrame:
 
 
 def _tokens(batch, hasher):
-    """(row, its words numbered by occurrence) of the texts in column 1."""
+    """(row, its word pairs numbered by occurrence) of the texts in column 1; ``n`` words make ``n + 1`` pairs with the edges."""
     for words in scan_words(batch.column(1), hasher):
         for i in range(words.n):
-            yield words.first + i, occurrence_numbered(words.text(i)) if words.bounds[i + 1] > words.bounds[i] else np.empty(0, np.uint64)
+            yield words.first + i, occurrence_numbered(gram_hashes(np.concatenate([_EDGES[:1], words.text(i), _EDGES[1:]]), 2))
 
 
-def _word_counts(batches):
+def _pair_counts(batches):
     hasher, counts = SpanHash(), np.zeros(_RANKS, np.int64)
     for batch in batches:
         for _, tokens in _tokens(batch, hasher):
@@ -312,21 +318,33 @@ def _word_counts(batches):
 
 
 def _rarest(counts, threshold: float):
-    """``node, token`` of the words that a text linked to this one can't all lack, less those of no other text."""
+    """``node, token, before`` of the word pairs that a text linked to this one can't all lack, less those of no other text.
+
+    ``before`` are the ``_BEFORE`` that come before it in that order.
+    """
 
     def scan(batches):
         hasher, known = SpanHash(), counts.value
         for batch in batches:
-            owner, out = [], []
+            owner, out, before, sizes = [], [], [], []
             for i, tokens in _tokens(batch, hasher):
                 n = known[(tokens % np.uint64(_RANKS)).astype(np.int64)]
-                first = np.lexsort((tokens, n))[: int((1 - threshold) * len(tokens) + 1e-9) + 1]
-                first = first[n[first] > 1]
+                first = np.lexsort((tokens, n))[: int(2 * (1 - threshold) * (len(tokens) - 1) + 1e-9) + 1]
+                first = tokens[first[n[first] > 1]].view(np.int64)
+                place = np.arange(len(first))[:, None] - np.arange(1, _BEFORE + 1)
                 owner.append(np.full(len(first), i))
-                out.append(tokens[first].view(np.int64))
-            owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
+                out.append(first)
+                before.append(first[place[place >= 0]])
+                sizes.append((place >= 0).sum(axis=1))
+            joined = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(joined(sizes))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(np.concatenate(out) if out else [], pa.int64())], ["node", "token"]
+                [
+                    batch.column(0).take(pa.array(joined(owner), pa.int64())),
+                    pa.array(joined(out), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(joined(before), pa.int64())),
+                ],
+                ["node", "token", "before"],
             )
 
     return scan
@@ -335,28 +353,31 @@ def _rarest(counts, threshold: float):
 def _rest(left: DataFrame, classes: _Classes) -> None:
     """Finds all links between texts of different classes among those that a key of ``left`` holds.
 
-    Linked texts of at most ``n`` words share all but ``k = (1 - threshold) n`` of them, so by any one order of
-    the words a shared one is among the first ``k + 1`` of each; the order is by how rare words are here.
+    An edit takes two of a text's word pairs at most, so of two linked texts one of ``n`` words shares all but
+    ``k = 2 (1 - threshold) n`` of its ``n + 1``; by any one order of the word pairs a shared one is among the first
+    ``k + 1`` of each. The order is by how rare they are here. Texts meet at the first that they share; at a later one
+    they are left out where one of those just before it is shared too.
     """
     spark, threshold = left.sparkSession, classes.threshold
     own = common.materialize(classes.texts.join(left.select("node").distinct(), "node").select("node", "text", "n_words", "bits"), "left_texts")
-    counted = own.select("node", "text").mapInArrow(_word_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = own.select("node", "text").mapInArrow(_pair_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(_RANKS, np.int64)
     counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    counts = spark.sparkContext.broadcast(counts)  # _RANKS numbers, 2 MB
-    rare = own.select("node", "text").mapInArrow(_rarest(counts, threshold), "node binary, token long")
+    counts = spark.sparkContext.broadcast(counts)  # _RANKS numbers, 8 MB
+    rare = own.select("node", "text").mapInArrow(_rarest(counts, threshold), "node binary, token long, before array<long>")
     nodes = left.select("node", "lab").distinct()
-    rows = nodes.join(rare, "node").select(F.col("token").alias("key"), "node", "lab")
+    rows = nodes.join(rare, "node").select(F.col("token").alias("key"), "node", "lab", "before")
     rows = common.materialize(rows.join(_open(rows), "key"), "rare")
-    # a word's largest class is not compared with itself
+    # a key's largest class is not compared with itself
     groups = rows.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"))
     largest = groups.groupBy("key").agg(F.max(F.struct("n", "lab")).alias("largest")).select("key", F.col("largest.lab").alias("major"))
     rows = rows.join(largest, "key").join(own.select("node", "n_words", "bits"), "node")
-    rows = rows.select("key", "node", "lab", (F.col("lab") != F.col("major")).alias("minor"), "n_words", "bits")
-    a, b = (rows.select("key", F.col("node").alias(x), F.col("lab").alias(f"lab_{x}"), F.col("minor").alias(f"minor_{x}"), F.col("n_words").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    rows = rows.select("key", "node", "lab", (F.col("lab") != F.col("major")).alias("minor"), "n_words", "bits", "before")
+    a, b = (rows.select("key", F.col("node").alias(x), F.col("lab").alias(f"lab_{x}"), F.col("minor").alias(f"minor_{x}"), F.col("n_words").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("before").alias(f"before_{x}")) for x in "ab")
     other = (F.col("lab_a") != F.col("lab_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
     a = a.filter("minor_a").withColumnRenamed("key", "key_a").hint("merge")
-    pairs = a.join(b, (F.col("key_a") == F.col("key")) & other & _may_link("a", "b", threshold))
+    met = F.arrays_overlap("before_a", "before_b")
+    pairs = a.join(b, (F.col("key_a") == F.col("key")) & other & _may_link("a", "b", threshold) & ~met)
     classes.add(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -377,6 +398,8 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
     found on the way to its class (members of one class are not compared, so not all links),
     ``kept`` marks the rows of the class's first (id, text).
     """
+    if threshold < 0.5:
+        raise ValueError("the exact rest holds from a similarity of 0.5 on")
     spark = docs.sparkSession
     texts = common.texts_of(docs).withColumn("node", text_node("text"))
     scanned = common.materialize(
