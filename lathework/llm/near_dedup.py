@@ -49,6 +49,8 @@ _RANKS = 1 << 20
 _BEFORE = 8
 #: What stands before a text's first and after its last word.
 _EDGES = np.array([0x6A09E667F3BCC908, 0xBB67AE8584CAA73B], np.uint64)
+#: Rows of links or labels up to which they are broadcast (5 MB); beyond, they are shuffled.
+_SMALL = 50_000
 #: Bits of a text's parity, in longs.
 _BITS = 1024
 
@@ -195,22 +197,28 @@ def _verified(threshold: float):
     return scan
 
 
+def _sent(table: DataFrame):
+    """A hint for joins with parts of ``table``, which is written: to broadcast them if it has at most ``_SMALL`` rows."""
+    return F.broadcast if table.limit(_SMALL + 1).count() <= _SMALL else lambda part: part
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the least node of each connected component of ``a, b``.
 
     In each round a node takes the least label around it, then its label's label, so
     rounds are logarithmic in a component's length where it is long. Each round is one
-    written table; minima are aggregated before the shuffle.
+    written table; minima are aggregated before the shuffle. Labels are broadcast if the links are few.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).filter("node <> other")
     edges = common.materialize(both.distinct(), "edges")
+    sent = _sent(edges)  # a label a node: no more than edges
     labels = common.materialize(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
         told = labels.select(F.col("node").alias("other"), F.col("label").alias("heard"))
-        heard = edges.join(told, "other").groupBy("node").agg(F.min("heard").alias("heard"))
-        stepped = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("low"))
+        heard = edges.join(sent(told), "other").groupBy("node").agg(F.min("heard").alias("heard"))
+        stepped = heard.join(sent(labels), "node").select("node", "label", F.least("label", "heard").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jumped"))
-        after = stepped.join(jump, "low", "left").select(
+        after = stepped.join(sent(jump), "low", "left").select(
             "node", F.coalesce(F.least("jumped", "low"), "low").alias("label"), (F.coalesce(F.least("jumped", "low"), "low") < F.col("label")).alias("moved")
         )
         after = common.materialize(after, "labels")
@@ -236,7 +244,7 @@ class _Classes:
     """Links found so far, and the class of each node that has any; classes are joined, never found anew."""
 
     def __init__(self, texts: DataFrame, threshold: float):
-        self.texts, self.threshold, self.links, self.labels = texts, threshold, None, None
+        self.texts, self.threshold, self.links, self.labels, self.sent = texts, threshold, None, None, None
 
     def compare(self, met: DataFrame) -> None:
         """Links among the pairs ``turn, hub`` of nodes' numbers."""
@@ -258,22 +266,24 @@ class _Classes:
         self.links = found if self.links is None else self.links.union(found)
         if self.labels is None:
             self.labels = components(found)
+            self.sent = _sent(self.labels)
             return
         ends = found
         for side in "ab":
             own = self.labels.select(F.col("node").alias(side), F.col("label").alias("_l"))
-            ends = ends.join(own, side, "left").withColumn(side, F.coalesce("_l", side)).drop("_l")
+            ends = ends.join(self.sent(own), side, "left").withColumn(side, F.coalesce("_l", side)).drop("_l")
         joined = components(ends.filter("a <> b").distinct())
         after = joined.select(F.col("node").alias("label"), F.col("label").alias("after"))
         old = self.labels.join(after, "label", "left").select("node", F.coalesce("after", "label").alias("label"))
         new = joined.join(self.labels.select("node"), "node", "left_anti")  # had no link before
         self.labels = common.materialize(old.unionByName(new), "labels")
+        self.sent = _sent(self.labels)
 
     def of(self, members: DataFrame) -> DataFrame:
         """``members`` (with ``node``) and ``lab``, a 64-bit number of the class."""
         if self.labels is None:
             return members.withColumn("lab", F.xxhash64("node"))
-        return members.join(self.labels, "node", "left").withColumn("lab", F.xxhash64(F.coalesce("label", "node"))).drop("label")
+        return members.join(self.sent(self.labels), "node", "left").withColumn("lab", F.xxhash64(F.coalesce("label", "node"))).drop("label")
 
 
 def _open(rows: DataFrame) -> DataFrame:
