@@ -51,6 +51,10 @@ _BEFORE = 8
 _EDGES = np.array([0x6A09E667F3BCC908, 0xBB67AE8584CAA73B], np.uint64)
 #: Rows of links or labels up to which they are broadcast (5 MB); beyond, they are shuffled.
 _SMALL = 50_000
+#: Bytes of the texts of all candidate pairs up to which they are broadcast; beyond, they are shuffled.
+_SMALL_TEXTS = 8 << 20
+#: Pairs that a task aligns, and words of the texts that it remembers (both bound it; neither drops a pair).
+_ALIGNED, _REMEMBERED = 1000, 300_000
 #: Bits of a text's parity, in longs.
 _BITS = 1024
 
@@ -182,15 +186,18 @@ def _sketches(batches):
 
 def _verified(threshold: float):
     def scan(batches):
+        seen, held = {}, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some, good = batch.slice(lo, 500), []
-                last = (None, None)
-                for x, y in zip(*(some.column(k).cast(pa.binary()) for k in (2, 3))):
-                    y = y.as_py()
-                    if y != last[0]:  # rows of one text lie together
-                        last = (y, Text(y))
-                    good.append(alike(Text(x.as_py()), last[1], threshold))
+                for pair in zip(*(some.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))):
+                    if held > _REMEMBERED:
+                        seen, held = {}, 0
+                    for text in pair:
+                        if text not in seen:
+                            seen[text] = Text(text)
+                            held += len(seen[text].words)
+                    good.append(alike(seen[pair[0]], seen[pair[1]], threshold))
                 mask = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([some.column(0).filter(mask), some.column(1).filter(mask)], ["a", "b"])
 
@@ -257,8 +264,16 @@ class _Classes:
     def add(self, pairs: DataFrame) -> None:
         """Aligns those of the distinct pairs of nodes that may be links; those that are join classes."""
         pairs = pairs.join(_side(self.texts, "a"), "a").join(_side(self.texts, "b"), "b").filter(_may_link("a", "b", self.threshold)).select("a", "b")
-        x = self.texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-        y = self.texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+        pairs = common.materialize(pairs, "pairs")
+        used = self.texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "text")
+        n = used.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if n <= _SMALL_TEXTS:
+            pairs = pairs.repartition(-(-pairs.count() // _ALIGNED) or 1, "a", "b")
+            sent = F.broadcast
+        else:
+            used, sent = self.texts, lambda side: side
+        x = sent(used.select(F.col("node").alias("a"), F.col("text").alias("x")))
+        y = sent(used.select(F.col("node").alias("b"), F.col("text").alias("y")))
         found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         found = common.materialize(found.mapInArrow(_verified(self.threshold), "a binary, b binary"), "found")
         if not found.take(1):
