@@ -154,6 +154,64 @@ def test_near_pairs_in_a_large_family_of_unlike_texts(spark):
     assert len(set(class_of.values())) == len(pairs) - len(planted)
 
 
+def edited(rng, words, edits, vocabulary):
+    out = list(words)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        if kind == 0:
+            out[at] = rng.choice(vocabulary)
+        elif kind == 1:
+            out.insert(at, rng.choice(vocabulary))
+        elif len(out) > 1:
+            del out[at]
+    return out
+
+
+def test_linked_texts_meet_at_one_of_their_rarest_word_pairs():
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(40)]
+    texts, linked = [], []
+    while len(linked) < 150:
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 120))] + ["again"] * rng.randrange(60)
+        other = edited(rng, words, rng.randrange(len(words) // 4 + 1), vocabulary)
+        a, b = " ".join(words), " ".join(other)
+        if a != b and near_dedup.similar(a.encode(), b.encode()):
+            linked.append((len(texts), len(texts) + 1))
+            texts += [a, b]
+    hasher = near_dedup.SpanHash()
+    codes = [w.text(i) for w in near_dedup.scan_words(pa.array(texts), hasher) for i in range(w.n)]
+    for i, j in linked:  # parities never part linked texts
+        n, m = len(texts[i].split()), len(texts[j].split())
+        x, y = (near_dedup.parity(codes[k]).view("uint8") for k in (i, j))
+        assert sum(int(v).bit_count() for v in x ^ y) <= 2 * int(0.2 * max(n, m) + 1e-6) - abs(n - m)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["node", "text"])
+    counted = next(near_dedup._pair_counts([batch])).to_pydict()
+    counts = near_dedup.np.zeros(near_dedup._RANKS, "int64")
+    counts[counted["bucket"]] = counted["n"]
+    value = type("Sent", (), {"value": counts})
+    rows = {}
+    for r in next(near_dedup._rarest(value, 0.8)([batch])).to_pylist():
+        rows.setdefault(r["node"], {})[r["token"]] = set(r["before"])
+    for i, j in linked:
+        shared = rows[i].keys() & rows[j].keys()
+        assert any(not rows[i][t] & rows[j][t] for t in shared)
+
+
+def test_classes_are_the_same_broadcast_or_shuffled(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = []
+    for family in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(60)] + ["filler", "again"] * (20 * (family % 3))
+        for copy in range(5):
+            pairs.append((len(pairs), " ".join(edited(rng, base, copy * 4, [f"n{i}" for i in range(300)]))))
+    docs = docs_of(spark, pairs)
+    classes = lambda: {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    sent = classes()
+    monkeypatch.setattr(near_dedup, "_SMALL", -1)
+    monkeypatch.setattr(near_dedup, "_SMALL_TEXTS", -1)
+    assert classes() == sent and len(set(sent.values())) < len(pairs)
+
+
 def brute_edit(pairs):
     order = sorted(pairs, key=lambda p: (p[0] is None, -(p[0] or 0), p[1] or ""))
     out = []
