@@ -73,7 +73,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of ``materialize`` that nothing yet to be run reads."""
+    for table in tables:
+        remove(table.sparkSession, table._path)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:

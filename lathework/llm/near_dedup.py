@@ -43,8 +43,6 @@ from lathework.llm.kernels import SpanHash, gram_hashes, mix, scan_words
 
 SHINGLE, MINIMA, SIMILARITY, ROUNDS, HUBS = 5, 128, 0.8, 1, 4
 _BLOCK = 1 << 12
-#: Buckets in which the word pairs of the texts left are counted; they bound what the driver sees.
-_RANKS = 1 << 20
 #: Of a text's rare word pairs, how many that come before each travel with it.
 _BEFORE = 8
 #: What stands before a text's first and after its last word.
@@ -220,6 +218,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = common.materialize(both.distinct(), "edges")
     sent = _sent(edges)  # a label a node: no more than edges
     labels = common.materialize(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+    written = labels
     while True:
         told = labels.select(F.col("node").alias("other"), F.col("label").alias("heard"))
         heard = edges.join(sent(told), "other").groupBy("node").agg(F.min("heard").alias("heard"))
@@ -229,8 +228,10 @@ def components(links: DataFrame) -> DataFrame:
             "node", F.coalesce(F.least("jumped", "low"), "low").alias("label"), (F.coalesce(F.least("jumped", "low"), "low") < F.col("label")).alias("moved")
         )
         after = common.materialize(after, "labels")
-        labels = after.select("node", "label")
+        common.release(written)
+        written, labels = after, after.select("node", "label")
         if not after.filter("moved").take(1):
+            common.release(edges)
             return labels
 
 
@@ -264,7 +265,7 @@ class _Classes:
     def add(self, pairs: DataFrame) -> None:
         """Aligns those of the distinct pairs of nodes that may be links; those that are join classes."""
         pairs = pairs.join(_side(self.texts, "a"), "a").join(_side(self.texts, "b"), "b").filter(_may_link("a", "b", self.threshold)).select("a", "b")
-        pairs = common.materialize(pairs, "pairs")
+        pairs = pairs_table = common.materialize(pairs, "pairs")
         used = self.texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "text")
         n = used.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         if n <= _SMALL_TEXTS:
@@ -276,6 +277,7 @@ class _Classes:
         y = sent(used.select(F.col("node").alias("b"), F.col("text").alias("y")))
         found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         found = common.materialize(found.mapInArrow(_verified(self.threshold), "a binary, b binary"), "found")
+        common.release(pairs_table)
         if not found.take(1):
             return
         self.links = found if self.links is None else self.links.union(found)
@@ -310,10 +312,13 @@ def _rounds(members: DataFrame, classes: _Classes, rounds: int) -> DataFrame:
     """Compares each node with one other a round; returns ``key, turn, node, lab`` of those in keys still open."""
     least = members.groupBy("key").agg(F.min("turn").alias("hub"))
     classes.compare(members.join(least, "key").groupBy("turn").agg(F.min("hub").alias("hub")).filter("hub <> turn"))
+    written = members
     members = members.join(classes.texts.select("turn", "node"), "turn")
     for last in [False] * rounds + [True]:
         rows = classes.of(members.select("key", "turn", "node"))
         rows = common.materialize(rows.join(_open(rows), "key"), "open")
+        common.release(written)
+        written = rows
         if last or not rows.take(1):
             return rows
         groups = rows.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("turn"))
@@ -333,46 +338,37 @@ def _tokens(batch, hasher):
             yield words.first + i, occurrence_numbered(gram_hashes(np.concatenate([_EDGES[:1], words.text(i), _EDGES[1:]]), 2))
 
 
-def _pair_counts(batches):
-    hasher, counts = SpanHash(), np.zeros(_RANKS, np.int64)
+def _word_pairs(batches):
+    hasher = SpanHash()
     for batch in batches:
-        for _, tokens in _tokens(batch, hasher):
-            np.add.at(counts, (tokens % np.uint64(_RANKS)).astype(np.int64), 1)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["bucket", "n"])
+        owner, out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, tokens in _tokens(batch, hasher):
+            owner.append(np.full(len(tokens), i))
+            out.append(tokens.view(np.int64))
+        at = pa.array(np.concatenate(owner), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64()), batch.column(0).take(at), batch.column(2).take(at)], ["key", "node", "lab"])
 
 
-def _rarest(counts, threshold: float):
-    """``node, token, before`` of the word pairs that a text linked to this one can't all lack, less those of no other text.
+def rarest(own: DataFrame, threshold: float) -> DataFrame:
+    """``key, node, lab, n_words, bits, before``: the word pairs at which a text meets those of other classes.
 
-    ``before`` are the ``_BEFORE`` that come before it in that order.
+    Of ``n + 1`` word pairs a text linked to this one lacks at most ``k = 2 (1 - threshold) n``. Those of one class
+    only come first in the order, then the others by how many rows hold them: of a text with ``s`` others the first
+    ``s + k - n`` stay, none where it shares too few with other classes for any link. ``before`` are the
+    ``_BEFORE`` that come before a pair in that order.
     """
-
-    def scan(batches):
-        hasher, known = SpanHash(), counts.value
-        for batch in batches:
-            owner, out, before, sizes = [], [], [], []
-            for i, tokens in _tokens(batch, hasher):
-                n = known[(tokens % np.uint64(_RANKS)).astype(np.int64)]
-                first = np.lexsort((tokens, n))[: int(2 * (1 - threshold) * (len(tokens) - 1) + 1e-9) + 1]
-                first = tokens[first[n[first] > 1]].view(np.int64)
-                place = np.arange(len(first))[:, None] - np.arange(1, _BEFORE + 1)
-                owner.append(np.full(len(first), i))
-                out.append(first)
-                before.append(first[place[place >= 0]])
-                sizes.append((place >= 0).sum(axis=1))
-            joined = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum(joined(sizes))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(joined(owner), pa.int64())),
-                    pa.array(joined(out), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(joined(before), pa.int64())),
-                ],
-                ["node", "token", "before"],
-            )
-
-    return scan
+    pairs = common.materialize(own.select("node", "text", "lab").mapInArrow(_word_pairs, "key long, node binary, lab long"), "word_pairs")
+    shared = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lab").alias("low"), F.max("lab").alias("high"))
+    shared = shared.filter("low <> high").select("key", "n")
+    ordered = pairs.select("key", "node").join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("ordered"))
+    texts = ordered.join(own.select("node", "lab", "n_words", "bits"), "node")
+    many = F.size("ordered") + F.floor(F.col("n_words") * F.lit(2 * (1 - threshold)) + F.lit(1e-9)) - F.col("n_words")
+    texts = texts.withColumn("many", many.cast("int")).filter("many > 0").withColumn("ordered", F.expr("slice(transform(ordered, x -> x.key), 1, many)"))
+    each = F.expr(f"explode(transform(ordered, (x, i) -> struct(x AS key, slice(ordered, greatest(i - {_BEFORE}, 0) + 1, least(i, {_BEFORE})) AS before)))")
+    rows = texts.select("node", "lab", "n_words", "bits", each.alias("_")).select("_.key", "node", "lab", "n_words", "bits", "_.before")
+    rows = common.materialize(rows, "rare")
+    common.release(pairs)
+    return rows
 
 
 def _rest(left: DataFrame, classes: _Classes) -> None:
@@ -383,21 +379,15 @@ def _rest(left: DataFrame, classes: _Classes) -> None:
     ``k + 1`` of each. The order is by how rare they are here. Texts meet at the first that they share; at a later one
     they are left out where one of those just before it is shared too.
     """
-    spark, threshold = left.sparkSession, classes.threshold
-    own = common.materialize(classes.texts.join(left.select("node").distinct(), "node").select("node", "text", "n_words", "bits"), "left_texts")
-    counted = own.select("node", "text").mapInArrow(_pair_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(_RANKS, np.int64)
-    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    counts = spark.sparkContext.broadcast(counts)  # _RANKS numbers, 8 MB
-    rare = own.select("node", "text").mapInArrow(_rarest(counts, threshold), "node binary, token long, before array<long>")
-    nodes = left.select("node", "lab").distinct()
-    rows = nodes.join(rare, "node").select(F.col("token").alias("key"), "node", "lab", "before")
-    rows = common.materialize(rows.join(_open(rows), "key"), "rare")
-    # a key's largest class is not compared with itself
+    threshold, nodes = classes.threshold, left.select("node", "lab").distinct()
+    own = common.materialize(classes.texts.join(nodes, "node").select("node", "text", "lab", "n_words", "bits"), "left_texts")
+    rows = rarest(own, threshold)
+    # word pairs of several classes, and the largest of these, which is not compared with itself
     groups = rows.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("n"))
-    largest = groups.groupBy("key").agg(F.max(F.struct("n", "lab")).alias("largest")).select("key", F.col("largest.lab").alias("major"))
-    rows = rows.join(largest, "key").join(own.select("node", "n_words", "bits"), "node")
-    rows = rows.select("key", "node", "lab", (F.col("lab") != F.col("major")).alias("minor"), "n_words", "bits", "before")
+    keys = groups.groupBy("key").agg(F.max(F.struct("n", "lab")).alias("largest"), F.count(F.lit(1)).alias("labs"))
+    keys = keys.filter("labs > 1").select("key", F.col("largest.lab").alias("major"))
+    rows = rows.join(keys, "key").withColumn("minor", F.col("lab") != F.col("major")).drop("major")
+    rows = common.materialize(rows, "rare_open")
     a, b = (rows.select("key", F.col("node").alias(x), F.col("lab").alias(f"lab_{x}"), F.col("minor").alias(f"minor_{x}"), F.col("n_words").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("before").alias(f"before_{x}")) for x in "ab")
     other = (F.col("lab_a") != F.col("lab_b")) & (~F.col("minor_b") | (F.col("a") < F.col("b")))
     a = a.filter("minor_a").withColumnRenamed("key", "key_a").hint("merge")
@@ -442,6 +432,8 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
     by_node = by_node.select(row_key("who.doc_id", "node").alias("row_key"), "turn", "who.n_words", "who.bits")
     own = texts.select("node", "text", row_key("doc_id", "node").alias("row_key")).join(by_node, "row_key")
     classes = _Classes(common.materialize(own.drop("row_key").dropDuplicates(["node"]), "node_texts"), threshold)
+    rows = common.materialize(scanned.select("doc_id", "node"), "rows")
+    common.release(scanned)
     left = _rounds(members, classes, rounds)
     if left.take(1):
         # keys that many unlike texts share
@@ -451,7 +443,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
         links = spark.createDataFrame([], "a binary, b binary")
         labels = spark.createDataFrame([], "node binary, label binary")
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links_used"))
-    rows = scanned.select("doc_id", "node").join(labels, "node", "left").join(degree, "node", "left")
+    rows = rows.join(labels, "node", "left").join(degree, "node", "left")
     rows = rows.select("doc_id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("links_used", F.lit(0)).alias("links_used"))
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
     return rows.join(first, "label").select(

@@ -167,7 +167,7 @@ def edited(rng, words, edits, vocabulary):
     return out
 
 
-def test_linked_texts_meet_at_one_of_their_rarest_word_pairs():
+def test_linked_texts_meet_at_one_of_their_rarest_word_pairs(spark):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(40)]
     texts, linked = [], []
@@ -184,14 +184,15 @@ def test_linked_texts_meet_at_one_of_their_rarest_word_pairs():
         n, m = len(texts[i].split()), len(texts[j].split())
         x, y = (near_dedup.parity(codes[k]).view("uint8") for k in (i, j))
         assert sum(int(v).bit_count() for v in x ^ y) <= 2 * int(0.2 * max(n, m) + 1e-6) - abs(n - m)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["node", "text"])
-    counted = next(near_dedup._pair_counts([batch])).to_pydict()
-    counts = near_dedup.np.zeros(near_dedup._RANKS, "int64")
-    counts[counted["bucket"]] = counted["n"]
-    value = type("Sent", (), {"value": counts})
-    rows = {}
-    for r in next(near_dedup._rarest(value, 0.8)([batch])).to_pylist():
-        rows.setdefault(r["node"], {})[r["token"]] = set(r["before"])
+    alone = len(texts)  # shares a few words only with any other text
+    texts.append(" ".join(["v1", "v2"] + [f"own{i}" for i in range(50)]))
+    own = [(i, str(i).encode(), t, i, len(t.split()), near_dedup.parity(c).tolist()) for i, (t, c) in enumerate(zip(texts, codes + [codes[0]]))]
+    own = spark.createDataFrame(own, "id long, node binary, text string, lab long, n_words long, bits array<long>")
+    rows = {i: {} for i in range(len(texts))}
+    for r in near_dedup.rarest(own, 0.8).collect():
+        assert r.lab == int(r.node) and r.n_words == len(texts[r.lab].split())
+        rows[r.lab][r.key] = set(r.before)
+    assert not rows[alone]
     for i, j in linked:
         shared = rows[i].keys() & rows[j].keys()
         assert any(not rows[i][t] & rows[j][t] for t in shared)
