@@ -341,12 +341,14 @@ def _tokens(batch, hasher):
 def _word_pairs(batches):
     hasher = SpanHash()
     for batch in batches:
-        owner, out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, tokens in _tokens(batch, hasher):
-            owner.append(np.full(len(tokens), i))
-            out.append(tokens.view(np.int64))
-        at = pa.array(np.concatenate(owner), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64()), batch.column(0).take(at), batch.column(2).take(at)], ["key", "node", "lab"])
+        for lo in range(0, batch.num_rows, 200):  # some texts at a time, so that a worker's memory stays small
+            some = batch.slice(lo, 200)
+            owner, out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, tokens in _tokens(some, hasher):
+                owner.append(np.full(len(tokens), i))
+                out.append(tokens.view(np.int64))
+            at = pa.array(np.concatenate(owner), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64()), some.column(0).take(at), some.column(2).take(at)], ["key", "node", "lab"])
 
 
 def rarest(own: DataFrame, threshold: float) -> DataFrame:
