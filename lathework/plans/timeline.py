@@ -137,7 +137,7 @@ _SUMMARY_SQL = ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 4) AS {n}"
 
 @query(f"SELECT l_returnflag, count(l_extendedprice) AS count, round(min(l_extendedprice), 4) AS min, {_SUMMARY_SQL}, round(max(l_extendedprice), 4) AS max, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1")
 def percentile_summary(spark, sf_dir):
-    found = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*stats.summary(F.col("l_extendedprice")))
+    found = stats.grouped_summary(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
     return found.select("l_returnflag", "count", *[F.round(c, 4).alias(c) for c in ("min", *stats.SUMMARY, "max", "mean")])
 
 

@@ -57,6 +57,16 @@ def test_statistics(spark):
     assert empty["count"] == 0 and empty["median"] is None and empty["cs"] == 0.0
 
 
+def test_grouped_summary_keeps_no_group_in_memory(spark):
+    rows = [("a", float(i % 700)) for i in range(3000)] + [("b", 5.0), ("n", None), (None, 1.0), (None, 4.0)] + [("c", x) for x in (3.0, -1.0, None, 8.5, float("inf"))]
+    df = spark.createDataFrame(rows, "k string, x double")
+    found = stats.grouped_summary(df, "k", "x")
+    close = lambda r: (r[0], *(v if v is None else round(v, 9) for v in r[1:]))
+    assert sorted(map(str, map(close, found.collect()))) == sorted(map(str, map(close, df.groupBy("k").agg(*stats.summary(F.col("x"))).collect())))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and stats.grouped_summary(df.limit(0), "k", "x").collect() == []
+
+
 def test_gates(spark):
     df = spark.createDataFrame([(5.0, 4.0, "min"), (5.0, 4.0, "max"), (None, 4.0, "max")], "v double, l double, d string")
     assert [r[0] for r in df.select(stats.gate(F.col("v"), F.col("l"), F.col("d"))).collect()] == [True, False, False]
